@@ -22,9 +22,49 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_quality(table(spark, sf_dir, "documents", "doc_id", "text")).drop("text")
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stratalog.llm.decontaminate import decontaminate
+
+    docs, items = table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text")
+    found = decontaminate(docs, items, clean=False)
+    names = F.array_join("items", ",")
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(names, 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+def op5_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stratalog.llm.html_extract import extract
+
+    return extract(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
+def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stratalog.llm.mixing import mix
+
+    return mix(table(spark, sf_dir, "documents", "doc_id", "text", "source"))[0]
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stratalog.llm.line_dedup import dedup_lines
+
+    kept = dedup_lines(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stratalog.llm.language_id import fold, train_and_identify
+
+    judged = train_and_identify(table(spark, sf_dir, "documents", "doc_id", "text", "lang"))
+    return judged.select("doc_id", F.coalesce(fold(F.col("doc_id")) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_quality_rules": op2_quality_rules,
+    "op3_decontaminate": op3_decontaminate,
+    "op5_html_extract": op5_html_extract,
+    "op7_mix_sources": op7_mix_sources,
+    "op8_line_dedup": op8_line_dedup,
+    "op10_language_id": op10_language_id,
 }
 
 ORACLES: dict[str, str] = {}
