@@ -31,6 +31,12 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(names, 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stratalog.llm.ngram_join import linked_components
+
+    return linked_components(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op5_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     from stratalog.llm.html_extract import extract
 
@@ -61,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_quality_rules": op2_quality_rules,
     "op3_decontaminate": op3_decontaminate,
+    "op4_ngram_join": op4_ngram_join,
     "op5_html_extract": op5_html_extract,
     "op7_mix_sources": op7_mix_sources,
     "op8_line_dedup": op8_line_dedup,
