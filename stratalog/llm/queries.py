@@ -43,6 +43,12 @@ def op5_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages", "page_id", "url", "html"))
 
 
+def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stratalog.llm.lm_score import score
+
+    return score(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from stratalog.llm.mixing import mix
 
@@ -75,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_decontaminate": op3_decontaminate,
     "op4_ngram_join": op4_ngram_join,
     "op5_html_extract": op5_html_extract,
+    "op6_lm_score": op6_lm_score,
     "op7_mix_sources": op7_mix_sources,
     "op8_line_dedup": op8_line_dedup,
     "op9_suffix_dedup": op9_suffix_dedup,
