@@ -132,7 +132,7 @@ def choose_boundary(histogram: dict[int, int], list_length: float, percent: int
 
 
 def _scan(docs: DataFrame) -> DataFrame:
-    """Rows of two kinds: kind 0, a document each (doc_id, class, set size); kind 1, parts of a task's shingle counters."""
+    """Rows of two kinds: kind 0, a document each (doc_id, hash of the text, class, set size); kind 1, parts of a task's shingle counters."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counters = np.zeros(WIDTH, np.int64)
@@ -141,14 +141,14 @@ def _scan(docs: DataFrame) -> DataFrame:
             h, rows = shingle_sets(batch.column("t"))
             sizes, classes = set_classes(h, rows, n)
             counters += np.bincount((h >> np.uint64(44)).astype(np.int64), minlength=WIDTH)
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), batch.column("d"), pa.array(classes), pa.array(sizes), pa.nulls(n, pa.binary())], names=["kind", "d", "cls", "n", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), batch.column("d"), batch.column("th"), pa.array(classes), pa.array(sizes), pa.nulls(n, pa.binary())], names=["kind", "d", "th", "cls", "n", "counts"])
         live = np.flatnonzero(counters.reshape(-1, PART).any(axis=1))
         if len(live):
             m = len(live)
             blobs = [counters[k * PART : (k + 1) * PART].astype("<i4").tobytes() for k in live.tolist()]
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(m, np.int32)), pa.nulls(m, pa.int64()), pa.array(live), pa.nulls(m, pa.int64()), pa.array(blobs, pa.binary())], names=["kind", "d", "cls", "n", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(m, np.int32)), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.array(live), pa.nulls(m, pa.int64()), pa.array(blobs, pa.binary())], names=["kind", "d", "th", "cls", "n", "counts"])
 
-    return docs.mapInArrow(each, "kind int, d long, cls long, n long, counts binary")
+    return docs.mapInArrow(each, "kind int, d long, th long, cls long, n long, counts binary")
 
 
 def _counters(scanned: DataFrame) -> np.ndarray:
@@ -244,10 +244,11 @@ def _verified(pairs: DataFrame, docs: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def linked_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id and class_id (alike where the sets are equal) for each row of docs."""
-    source = docs.select(F.col(doc_id).cast("long").alias("d"), F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("t"))
+    """doc_id, n_shingles, component_id, class_id (alike where the sets are equal) and text_hash for each row of docs, and
+    first: whether the row has the least id of its component, and of rows with that id the least text_hash."""
+    source = docs.select(F.col(doc_id).cast("long").alias("d"), F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("t")).withColumn("th", F.xxhash64("t"))
     scanned = cut(_scan(source))
-    known = scanned.where("kind = 0").select("d", "cls", "n")
+    known = scanned.where("kind = 0").select("d", "th", "cls", "n")
     counters = _counters(scanned)
     histogram = {r.n: r.k for r in known.where("n > 0").groupBy(F.least("n", F.lit(LARGEST_BOUNDARY + 1)).alias("n")).agg(F.count_distinct("cls").alias("k")).toLocalIterator()}
     summed = float(counters.sum(dtype=np.float64))
@@ -291,8 +292,35 @@ def linked_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "t
     if roots is None:
         joined = known.withColumn("c", F.col("cls"))
     else:
-        joined = known.join(roots, known["cls"] == roots["node"], "left").select("d", "cls", "n", F.coalesce("root", "cls").alias("c"))
+        joined = known.join(roots, known["cls"] == roots["node"], "left").select("d", "th", "cls", "n", F.coalesce("root", "cls").alias("c"))
     joined = cut(joined)
-    least = joined.where("n > 0").groupBy("c").agg(F.min("d").alias("component_id")).withColumnRenamed("c", "_c")
+    by_id = F.struct(F.coalesce("d", F.lit((1 << 63) - 1)), "th")
+    least = joined.where("n > 0").groupBy("c").agg(F.min(by_id).alias("least"), F.min("d").alias("component_id")).withColumnRenamed("c", "_c")
     named = joined.join(least, (joined["c"] == least["_c"]) & (joined["n"] > 0), "left")
-    return named.select(F.col("d").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component_id", "d").alias("component_id"), F.col("cls").alias("class_id"))
+    return named.select(
+        F.col("d").alias("doc_id"),
+        F.col("n").alias("n_shingles"),
+        F.coalesce("component_id", "d").alias("component_id"),
+        F.col("cls").alias("class_id"),
+        F.col("th").alias("text_hash"),
+        F.coalesce(by_id == F.col("least"), F.lit(True)).alias("first"),
+    )
+
+
+def one_per_component(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs with one row of each component: that of the least id.  Of rows that are alike in id and text one stays, too, if they have words."""
+    groups = cut(linked_components(docs, doc_id=doc_id, text=text).where("n_shingles > 0"))
+    keyed = docs.withColumns({"_d": F.col(doc_id).cast("long"), "_th": F.xxhash64(F.coalesce(F.col(text).cast("binary"), F.lit(b"")))})
+
+    def ids(rows: DataFrame) -> DataFrame:
+        few = rows.select(F.col("doc_id").alias("_i"), F.col("text_hash").alias("_h")).distinct()
+        return F.broadcast(few) if rows.count() <= BROADCAST_IDS else few
+
+    same = lambda right: keyed["_d"].eqNullSafe(right["_i"]) & (keyed["_th"] == right["_h"])
+    others = ids(groups.where(~F.col("first")))
+    kept = keyed.join(others, same(others), "left_anti")
+    repeated = groups.where("first").groupBy("doc_id", "text_hash").agg(F.count("*").alias("k")).where("k > 1")
+    if not repeated.isEmpty():
+        twice = ids(repeated)
+        kept = kept.join(twice, same(twice), "left_anti").union(kept.join(twice, same(twice), "left_semi").dropDuplicates(["_d", "_th"]))
+    return kept.drop("_d", "_th")
