@@ -41,10 +41,15 @@ from stratalog.llm.graph import components
 SHINGLE = 5
 #: Jaccard similarity in percent.
 PERCENT = 75
-WIDTH, PART = 1 << 20, 1 << 14
+#: Shingle counters, and how many of them one row holds.
+WIDTH, PART = 1 << 23, 1 << 17
+_COUNTER = np.uint64(64 - 23)
+#: 64-bit words of a set's parity sketch.
+SKETCH_WORDS = 16
 LARGEST_BOUNDARY = 12
 #: Documents whose ids may be broadcast to pick their texts; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
+#: Rounds of checks against leaders, as long as they find links.
 STAR_ROUNDS = 3
 
 _FACTORS = mix(np.arange(101, 101 + 2 * SHINGLE, dtype=np.uint64))
@@ -131,21 +136,36 @@ def choose_boundary(histogram: dict[int, int], list_length: float, percent: int
     return min(range(LARGEST_BOUNDARY + 1), key=cost)
 
 
+def sketches(h: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+    """Parity of the set's elements in each of 64 * SKETCH_WORDS cells: where the sketches of two sets differ, so do the sets."""
+    cells = 64 * SKETCH_WORDS
+    odd = np.bincount(rows * cells + (mix(h + np.uint64(77)) % np.uint64(cells)).astype(np.int64), minlength=n * cells) & 1
+    return np.packbits(odd.astype(np.uint8).reshape(n, cells), axis=1, bitorder="little").view("<i8")
+
+
+def _packed(part: np.ndarray) -> bytes:
+    return pa.compress(part.tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpacked(data: pa.Buffer) -> np.ndarray:
+    return np.frombuffer(pa.decompress(data, decompressed_size=4 * PART, codec="zstd"), np.uint32)
+
+
 def _scan(docs: DataFrame) -> DataFrame:
     """Rows of two kinds: kind 0, a document each (doc_id, hash of the text, class, set size); kind 1, parts of a task's shingle counters."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counters = np.zeros(WIDTH, np.int64)
+        counters = np.zeros(WIDTH, np.uint32)
         for batch in sized_chunks(batches, "t"):
             n = len(batch)
             h, rows = shingle_sets(batch.column("t"))
             sizes, classes = set_classes(h, rows, n)
-            counters += np.bincount((h >> np.uint64(44)).astype(np.int64), minlength=WIDTH)
+            np.add.at(counters, (h >> _COUNTER).astype(np.int64), np.uint32(1))
             yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), batch.column("d"), batch.column("th"), pa.array(classes), pa.array(sizes), pa.nulls(n, pa.binary())], names=["kind", "d", "th", "cls", "n", "counts"])
         live = np.flatnonzero(counters.reshape(-1, PART).any(axis=1))
         if len(live):
             m = len(live)
-            blobs = [counters[k * PART : (k + 1) * PART].astype("<i4").tobytes() for k in live.tolist()]
+            blobs = [_packed(counters[k * PART : (k + 1) * PART]) for k in live.tolist()]
             yield pa.RecordBatch.from_arrays([pa.array(np.ones(m, np.int32)), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.array(live), pa.nulls(m, pa.int64()), pa.array(blobs, pa.binary())], names=["kind", "d", "th", "cls", "n", "counts"])
 
     return docs.mapInArrow(each, "kind int, d long, th long, cls long, n long, counts binary")
@@ -158,7 +178,7 @@ def _counters(scanned: DataFrame) -> np.ndarray:
         sums = np.zeros(PART, np.int64)
         for batch in batches:
             for x in batch.column("counts"):
-                sums += np.frombuffer(x.as_buffer(), "<i4")
+                sums += _unpacked(x.as_buffer())
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()]), pa.array([np.minimum(sums, 2**32 - 1).astype("<u4").tobytes()], pa.binary())], names=["cls", "counts"])
 
     out = np.zeros(WIDTH, np.uint32)
@@ -168,8 +188,8 @@ def _counters(scanned: DataFrame) -> np.ndarray:
 
 
 def _list_rows(docs: DataFrame, counters: np.ndarray, boundary: int) -> DataFrame:
-    """Rows of the lists: key h, class, set size n and place pos in the set's order (-1: a subset)."""
-    shared = spark_of(docs).sparkContext.broadcast(counters)
+    """Rows of the lists: key h, class, set size n and place pos in the set's order, or minus the size of a subset."""
+    shared = spark_of(docs).sparkContext.broadcast(np.minimum(counters, 65535).astype(np.uint16))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = shared.value
@@ -195,9 +215,9 @@ def _list_rows(docs: DataFrame, counters: np.ndarray, boundary: int) -> DataFram
                     for c in subset_sizes(s, boundary):
                         pick = np.array(list(combinations(range(s), c)))
                         keys = mix(own[:, pick].sum(axis=2, dtype=np.uint64) * np.uint64(2 * c + 1))
-                        out.append((keys.ravel(), np.repeat(mine, len(pick)), np.full(keys.size, -1)))
+                        out.append((keys.ravel(), np.repeat(mine, len(pick)), np.full(keys.size, -c)))
             # Rarest first, then by hash: place within the set.
-            by = np.lexsort((counts[(h >> np.uint64(44)).astype(np.int64)], _narrow(rows, len(batch))))
+            by = np.lexsort((counts[(h >> _COUNTER).astype(np.int64)], _narrow(rows, len(batch))))
             ranked, owner = h[by], rows[by]
             pos = np.arange(len(by)) - starts[owner]
             limit = np.where(n > boundary, probe_length(n), np.where(n >= reach, index_length(n), 0))
@@ -217,17 +237,45 @@ def _may_link(n: Column, pos: Column, m: Column, at: Column) -> Column:
     overlap = F.ceil(PERCENT * (n + m) / (100 + PERCENT))
     most = F.least(pos, at) + 1 + F.least(n - pos - 1, m - at - 1)
     in_lists = (within < small - F.ceil(2 * PERCENT * small / (100 + PERCENT)) + 1) & (most >= overlap)
-    return (100 * small >= PERCENT * large) & ((pos < 0) | in_lists)
+    return (100 * small >= PERCENT * large) & F.when(pos < 0, overlap == -pos).otherwise(in_lists)
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, known: DataFrame) -> DataFrame:
-    """Those pairs (a, b) of classes whose sets reach the threshold, checked on the whole sets."""
-    wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct()
-    chosen = cut(known.where("n > 0").join(wanted, "cls", "left_semi").groupBy("cls").agg(F.min("d").alias("d")))
+def _texts_of(classes: DataFrame, docs: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """One document's text for each of the classes, and the classes with that document."""
+    chosen = cut(known.where("n > 0").join(classes, "cls", "left_semi").groupBy("cls").agg(F.min("d").alias("d")))
     ids = chosen.select("d").distinct()
     if chosen.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
-    texts = docs.join(ids, "d", "left_semi")
+    return docs.join(ids, "d", "left_semi").select("t"), chosen.select("cls")
+
+
+def _sketched(lists: DataFrame, docs: DataFrame, known: DataFrame) -> DataFrame:
+    """cls and sketch of the classes that stand in lists."""
+    texts, classes = _texts_of(lists.select("cls").distinct(), docs, known)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sized_chunks(batches, "t"):
+            h, rows = shingle_sets(batch.column("t"))
+            sizes, classes = set_classes(h, rows, len(batch))
+            own = sketches(h, rows, len(batch))
+            yield pa.RecordBatch.from_arrays([pa.array(classes), pa.array(sizes), pa.array(list(own), pa.list_(pa.int64()))], names=["cls", "size", "sketch"])
+
+    return cut(texts.mapInArrow(each, "cls long, size long, sketch array<long>").join(classes, "cls", "left_semi").dropDuplicates(["cls"]))
+
+
+def _plausible(pairs: DataFrame, sketched: DataFrame) -> DataFrame:
+    """Without the pairs of which the sketches differ in more places than linked sets may differ in elements."""
+    x = sketched.withColumnsRenamed({"cls": "a", "size": "n", "sketch": "x"})
+    y = sketched.withColumnsRenamed({"cls": "b", "size": "m", "sketch": "y"})
+    differ = F.aggregate(F.zip_with("x", "y", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, k: s + k)
+    total = F.col("n") + F.col("m")
+    most = total - 2 * F.ceil(PERCENT * total / (100 + PERCENT))
+    return pairs.join(x, "a").join(y, "b").where(differ <= most).select("a", "b")
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, known: DataFrame) -> DataFrame:
+    """Those pairs (a, b) of classes whose sets reach the threshold, checked on the whole sets."""
+    texts, classes = _texts_of(pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct(), docs, known)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sized_chunks(batches, "t"):
@@ -236,7 +284,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, known: DataFrame) -> DataFrame:
             ends = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(classes), pa.ListArray.from_arrays(pa.array(ends), pa.array(h.view(np.int64)))], names=["cls", "elements"])
 
-    sets = texts.select("t").mapInArrow(each, "cls long, elements array<long>").join(chosen.select("cls"), "cls", "left_semi")
+    sets = texts.mapInArrow(each, "cls long, elements array<long>").join(classes, "cls", "left_semi")
     left = pairs.join(sets.withColumnsRenamed({"cls": "a", "elements": "x"}), "a")
     both = left.join(sets.withColumnsRenamed({"cls": "b", "elements": "y"}), "b")
     shared = F.size(F.array_intersect("x", "y"))
@@ -259,14 +307,18 @@ def linked_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "t
     rows = _list_rows(source, counters, boundary)
     lists = cut(rows.withColumns({"lo": F.min("cls").over(whole), "hi": F.max("cls").over(whole)}).where("lo < hi").drop("lo", "hi"))
 
+    sketched = _sketched(lists, source, known)
+
     links: DataFrame | None = None
     roots: DataFrame | None = None
     tested: DataFrame | None = None
-    for turn in range(STAR_ROUNDS + 1):
+    turn, stars = 0, True
+    while stars is not None:
         members = lists.withColumn("c", F.col("cls")) if roots is None else lists.join(roots, lists["cls"] == roots["node"], "left").select("h", "cls", "n", "pos", F.coalesce("root", "cls").alias("c"))
-        if turn < STAR_ROUNDS:
-            # Each member against its list's leader: the least class, by another order each turn.
-            rank = F.struct(F.xxhash64("c", F.lit(turn)).alias("r"), "cls", "n", "pos", "c")
+        last = not stars
+        if stars:
+            # Each member against its list's leader: the same one in all lists first, then by another order in each list.
+            rank = F.struct((F.col("c") if turn == 0 else F.xxhash64("c", "h", F.lit(turn))).alias("r"), "cls", "n", "pos", "c")
             leaders = members.groupBy("h").agg(F.min(rank).alias("l"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("h", "l")
             met = members.join(leaders, "h").where((F.col("c") != F.col("l.c")) & _may_link(F.col("n"), F.col("pos"), F.col("l.n"), F.col("l.pos")))
             pairs = met.select(F.least("cls", "l.cls").alias("a"), F.greatest("cls", "l.cls").alias("b"))
@@ -280,14 +332,18 @@ def linked_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "t
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = cut(pairs)
-        if pairs.isEmpty():
-            continue
+        likely = cut(_plausible(pairs, sketched))
+        fresh = not likely.isEmpty()
+        if fresh:
+            found = cut(_verified(likely, source, known))
+            fresh = not found.isEmpty()
+        if fresh:
+            links = found if links is None else cut(links.union(found))
+            roots = components(links)
         tested = pairs if tested is None else tested.union(pairs)
-        found = cut(_verified(pairs, source, known))
-        if found.isEmpty():
-            continue
-        links = found if links is None else cut(links.union(found))
-        roots = components(links)
+        turn += 1
+        # Leaders as long as they find links, then what is left once, in full.
+        stars = None if last else fresh and turn < STAR_ROUNDS
 
     if roots is None:
         joined = known.withColumn("c", F.col("cls"))
