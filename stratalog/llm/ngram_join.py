@@ -231,13 +231,22 @@ def _list_rows(docs: DataFrame, counters: np.ndarray, boundary: int) -> DataFram
 
 def _may_link(n: Column, pos: Column, m: Column, at: Column) -> Column:
     """Whether sets of n and m elements that share an entry at these places can reach the threshold."""
-    small, large = F.least(n, m), F.greatest(n, m)
-    indexed = F.when(n <= m, pos).otherwise(at)
-    within = F.when(n == m, F.least(pos, at)).otherwise(indexed)
-    overlap = F.ceil(PERCENT * (n + m) / (100 + PERCENT))
-    most = F.least(pos, at) + 1 + F.least(n - pos - 1, m - at - 1)
-    in_lists = (within < small - F.ceil(2 * PERCENT * small / (100 + PERCENT)) + 1) & (most >= overlap)
-    return (100 * small >= PERCENT * large) & F.when(pos < 0, overlap == -pos).otherwise(in_lists)
+    overlap = _least_overlap(n + m)
+    # Prefixes of the lengths that this pair needs share an entry; what stands after it, and all before, may be shared.
+    in_lists = (pos <= n - overlap) & (at <= m - overlap) & (F.least(pos, at) + 1 + F.least(n - pos - 1, m - at - 1) >= overlap)
+    return (100 * F.least(n, m) >= PERCENT * F.greatest(n, m)) & F.when(pos < 0, overlap == -pos).otherwise(in_lists)
+
+
+def _least_overlap(total: Column) -> Column:
+    return F.ceil(PERCENT * total / (100 + PERCENT))
+
+
+def _sketches_allow(n: Column, m: Column, mark: str = "_") -> Column:
+    """Whether the sketches (s0, s1, ... and those with a mark) differ in no more places than linked sets may differ in elements."""
+    differ = F.lit(0)
+    for k in range(SKETCH_WORDS):
+        differ = differ + F.bit_count(F.col(f"s{k}").bitwiseXOR(F.col(f"s{k}{mark}")))
+    return differ <= n + m - 2 * _least_overlap(n + m)
 
 
 def _texts_of(classes: DataFrame, docs: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -258,19 +267,17 @@ def _sketched(lists: DataFrame, docs: DataFrame, known: DataFrame) -> DataFrame:
             h, rows = shingle_sets(batch.column("t"))
             sizes, classes = set_classes(h, rows, len(batch))
             own = sketches(h, rows, len(batch))
-            yield pa.RecordBatch.from_arrays([pa.array(classes), pa.array(sizes), pa.array(list(own), pa.list_(pa.int64()))], names=["cls", "size", "sketch"])
+            yield pa.RecordBatch.from_arrays([pa.array(classes), pa.array(sizes), *[pa.array(np.ascontiguousarray(own[:, k])) for k in range(SKETCH_WORDS)]], names=names)
 
-    return cut(texts.mapInArrow(each, "cls long, size long, sketch array<long>").join(classes, "cls", "left_semi").dropDuplicates(["cls"]))
+    names = ["cls", "size", *[f"s{k}" for k in range(SKETCH_WORDS)]]
+    return cut(texts.mapInArrow(each, ", ".join(f"{c} long" for c in names)).join(classes, "cls", "left_semi").dropDuplicates(["cls"]))
 
 
 def _plausible(pairs: DataFrame, sketched: DataFrame) -> DataFrame:
     """Without the pairs of which the sketches differ in more places than linked sets may differ in elements."""
-    x = sketched.withColumnsRenamed({"cls": "a", "size": "n", "sketch": "x"})
-    y = sketched.withColumnsRenamed({"cls": "b", "size": "m", "sketch": "y"})
-    differ = F.aggregate(F.zip_with("x", "y", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, k: s + k)
-    total = F.col("n") + F.col("m")
-    most = total - 2 * F.ceil(PERCENT * total / (100 + PERCENT))
-    return pairs.join(x, "a").join(y, "b").where(differ <= most).select("a", "b")
+    x = sketched.withColumnsRenamed({"cls": "a", "size": "n"})
+    y = sketched.select(F.col("cls").alias("b"), F.col("size").alias("m"), *[F.col(f"s{k}").alias(f"s{k}_") for k in range(SKETCH_WORDS)])
+    return pairs.join(x, "a").join(y, "b").where(_sketches_allow(F.col("n"), F.col("m"))).select("a", "b")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, known: DataFrame) -> DataFrame:
@@ -324,9 +331,10 @@ def linked_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "t
             pairs = met.select(F.least("cls", "l.cls").alias("a"), F.greatest("cls", "l.cls").alias("b"))
         else:
             mixed = members.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("h")
-            left = cut(members.join(mixed, "h", "left_semi"))
-            other = left.select("h", *[F.col(x).alias(f"{x}_") for x in ("cls", "n", "pos", "c")])
-            met = left.join(other, "h").where((F.col("cls") < F.col("cls_")) & (F.col("c") != F.col("c_")) & _may_link(F.col("n"), F.col("pos"), F.col("n_"), F.col("pos_")))
+            left = cut(members.join(mixed, "h", "left_semi").join(sketched.drop("size"), "cls"))
+            other = left.select("h", *[F.col(x).alias(f"{x}_") for x in left.columns if x != "h"])
+            meet = (F.col("cls") < F.col("cls_")) & (F.col("c") != F.col("c_")) & _may_link(F.col("n"), F.col("pos"), F.col("n_"), F.col("pos_"))
+            met = left.join(other, "h").where(meet & _sketches_allow(F.col("n"), F.col("n_")))
             pairs = met.select(F.col("cls").alias("a"), F.col("cls_").alias("b"))
         pairs = pairs.distinct()
         if tested is not None:
