@@ -171,25 +171,27 @@ def _scan(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(each, "kind int, d long, th long, cls long, n long, counts binary")
 
 
-def _counters(scanned: DataFrame) -> np.ndarray:
-    """The counters of all tasks together, WIDTH of them however many documents there are."""
+def _counters(scanned: DataFrame) -> tuple[np.ndarray, float, float]:
+    """The counters of all tasks together (none over 65535), WIDTH of them however many documents there are; their sum and sum of squares."""
 
     def total(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros(PART, np.int64)
         for batch in batches:
             for x in batch.column("counts"):
                 sums += _unpacked(x.as_buffer())
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()]), pa.array([np.minimum(sums, 2**32 - 1).astype("<u4").tobytes()], pa.binary())], names=["cls", "counts"])
+        values = [[key[0].as_py()], [float(sums.sum())], [float((sums.astype(float) ** 2).sum())]]
+        yield pa.RecordBatch.from_arrays([*map(pa.array, values), pa.array([np.minimum(sums, 65535).astype("<u2").tobytes()], pa.binary())], names=["cls", "one", "two", "counts"])
 
-    out = np.zeros(WIDTH, np.uint32)
-    for row in scanned.where("kind = 1").select("cls", "counts").groupBy("cls").applyInArrow(total, "cls long, counts binary").toLocalIterator():
-        out[row.cls * PART : (row.cls + 1) * PART] = np.frombuffer(bytes(row.counts), "<u4")
-    return out
+    out, one, two = np.zeros(WIDTH, np.uint16), 0.0, 0.0
+    for row in scanned.where("kind = 1").select("cls", "counts").groupBy("cls").applyInArrow(total, "cls long, one double, two double, counts binary").toLocalIterator():
+        out[row.cls * PART : (row.cls + 1) * PART] = np.frombuffer(row.counts, "<u2")
+        one, two = one + row.one, two + row.two
+    return out, one, two
 
 
 def _list_rows(docs: DataFrame, counters: np.ndarray, boundary: int) -> DataFrame:
     """Rows of the lists: key h, class, set size n and place pos in the set's order, or minus the size of a subset."""
-    shared = spark_of(docs).sparkContext.broadcast(np.minimum(counters, 65535).astype(np.uint16))
+    shared = spark_of(docs).sparkContext.broadcast(counters)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = shared.value
@@ -304,14 +306,14 @@ def linked_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "t
     source = docs.select(F.col(doc_id).cast("long").alias("d"), F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("t")).withColumn("th", F.xxhash64("t"))
     scanned = cut(_scan(source))
     known = scanned.where("kind = 0").select("d", "th", "cls", "n")
-    counters = _counters(scanned)
+    counters, summed, squares = _counters(scanned)
     histogram = {r.n: r.k for r in known.where("n > 0").groupBy(F.least("n", F.lit(LARGEST_BOUNDARY + 1)).alias("n")).agg(F.count_distinct("cls").alias("k")).toLocalIterator()}
-    summed = float(counters.sum(dtype=np.float64))
-    length = float((counters.astype(np.float64) ** 2).sum()) / summed - summed / WIDTH if summed else 0.0
+    length = squares / summed - summed / WIDTH if summed else 0.0
     boundary = choose_boundary(histogram, max(0.0, length))
 
     whole = Window.partitionBy("h")
     rows = _list_rows(source, counters, boundary)
+    del counters
     lists = cut(rows.withColumns({"lo": F.min("cls").over(whole), "hi": F.max("cls").over(whole)}).where("lo < hi").drop("lo", "hi"))
 
     sketched = _sketched(lists, source, known)
