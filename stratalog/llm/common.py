@@ -16,7 +16,7 @@ SPACE_CLASS = r"\x20\x09-\x0D"
 SPACE_CHARS = " \t\n\x0b\x0c\r"
 
 #: Bytes of text that one step inside a task handles together.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 

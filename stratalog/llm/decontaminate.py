@@ -199,7 +199,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text: str = "text",
 
         def stream(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             automaton = shared.value
-            for batch in sized_chunks(batches, text, 16 << 20):
+            for batch in sized_chunks(batches, text, 4 << 20):
                 again = "_mask" in batch.schema.names
                 before = batch.column("_mask").to_pylist() if again else [None] * len(batch)
                 items_before = batch.column("items").to_pylist() if again else [[]] * len(batch)

@@ -177,7 +177,7 @@ def extract(pages: DataFrame, *, html: str = "html") -> DataFrame:
     schema = T.StructType([*source.select(*columns).schema.fields, T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sized_chunks(batches, "_html", 16 << 20):
+        for batch in sized_chunks(batches, "_html", 4 << 20):
             texts = [main_text(x.as_py()) for x in batch.column("_html")]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in columns], pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=schema.names)
 

@@ -58,7 +58,7 @@ def line_keys(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", le
     source = docs.select(_id(doc_id), F.col(text).cast("binary").alias("t"), F.pmod(F.xxhash64(doc_id), F.lit(batches)).cast("int").alias("b"))
 
     def each(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in sized_chunks(parts, "t", 16 << 20):
+        for part in sized_chunks(parts, "t", 4 << 20):
             held: dict[tuple[int, bytes], list[int]] = {}
             for d, t, b in zip(part.column("d").to_pylist(), part.column("t"), part.column("b").to_pylist(), strict=True):
                 for h in {*_digests(t.as_py() or b"", least_chars)} - {None}:
@@ -176,7 +176,7 @@ def dedup_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
 
         def each(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             h1, h2, most = shared.value
-            for part in sized_chunks(parts, text, 16 << 20):
+            for part in sized_chunks(parts, text, 4 << 20):
                 texts = [t or b"" for t in part.column(text).cast(pa.binary()).to_pylist()]
                 ids = [_NO_ID if d is None else d for d in part.column(doc_id).to_pylist()]
                 drops: list[set[int]] = [set() for _ in texts]
@@ -204,7 +204,7 @@ def dedup_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
 
     # Too many keys to broadcast: line places are joined with the keys, and the places to drop with their documents.
     def places(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in sized_chunks(parts, "t", 16 << 20):
+        for part in sized_chunks(parts, "t", 4 << 20):
             where, digests = [], []
             for d, r, t in zip(part.column("d").to_pylist(), part.column("r").to_pylist(), part.column("t").to_pylist(), strict=True):
                 for k, h in enumerate(_digests(t or b"", least_chars)):
@@ -223,7 +223,7 @@ def dedup_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     joined = keyed.join(dropped, (keyed["_d"] == dropped["d"]) & (keyed["_r"] == dropped["r"]), "left").select(*columns, "_drop")
 
     def remove(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in sized_chunks(parts, text, 16 << 20):
+        for part in sized_chunks(parts, text, 4 << 20):
             drops = [set(x or ()) for x in part.column("_drop").to_pylist()]
             yield rebuilt(part, drops, [(t or b"").split(b"\n") for t in part.column(text).cast(pa.binary()).to_pylist()])
 

@@ -275,7 +275,7 @@ def dedup_substrings(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "te
     schema = T.StructType(fields)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sized_chunks(batches, "t", 16 << 20):
+        for batch in sized_chunks(batches, "t", 4 << 20):
             n, removed, spans, kept = [], [], [], []
             for t, lo, hi in zip(batch.column("t").to_pylist(), batch.column("lo"), batch.column("hi"), strict=True):
                 n.append(len(t))
