@@ -89,8 +89,7 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
         lambda s, p: F.struct((s["sum"] + F.least(F.lit(WINDOW), p - s["last"])).alias("sum"), p.alias("last")),
         lambda s: s["sum"],
     )
-    return second.select(
-        *[c for c in docs.columns if c not in _NAMES],
+    counts = F.struct(
         n.cast("long").alias("n_words"),
         F.length(F.regexp_replace(t, f"[{SPACE_CLASS}]+", "")).cast("long").alias("word_chars"),
         _only(t, "#*$%&|<>").cast("long").alias("n_symbols"),
@@ -102,6 +101,8 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
         _only(t, r"\p{L}").alias("_n_letters"),
         _only(t, r"\p{Lu}").alias("_n_capitals"),
     )
+    # Through inline, so that a later filter on the counts is not pushed below them, which would copy these expressions many times.
+    return second.select(*[c for c in docs.columns if c not in _NAMES], F.inline(F.array(counts)))
 
 
 def measures() -> dict[str, Column]:
