@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stratalog.llm.common import cut, mix, sized_chunks, spark_of, words_of
+from stratalog.llm.common import CHUNK_BYTES, cut, mix, sized_chunks, spark_of, words_of
 from stratalog.llm.graph import components
 
 SHINGLE = 5
@@ -282,22 +282,50 @@ def _plausible(pairs: DataFrame, sketched: DataFrame) -> DataFrame:
     return pairs.join(x, "a").join(y, "b").where(_sketches_allow(F.col("n"), F.col("m"))).select("a", "b")
 
 
+def _shared(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Of texts in pairs (the first with the second, and so on): sizes of all sets, and the overlap of each pair."""
+    h, rows = shingle_sets(pa.array(texts, pa.binary()))
+    sizes = np.bincount(rows, minlength=len(texts))
+    pair = rows >> 1
+    order = np.lexsort((h, pair))
+    h, pair = h[order], pair[order]
+    # Elements are distinct within a set, so what a pair holds twice is shared.
+    twice = (h[1:] == h[:-1]) & (pair[1:] == pair[:-1])
+    return sizes.reshape(-1, 2), np.bincount(pair[1:][twice], minlength=len(texts) // 2)
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, known: DataFrame) -> DataFrame:
-    """Those pairs (a, b) of classes whose sets reach the threshold, checked on the whole sets."""
+    """Those pairs (a, b) of classes whose sets reach the threshold, checked on the whole sets.
+
+    Compressed texts are shuffled, a fraction of the size of their shingles' hashes, and the sets are made where a pair meets.
+    """
     texts, classes = _texts_of(pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct(), docs, known)
 
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sized_chunks(batches, "t"):
-            h, rows = shingle_sets(batch.column("t"))
-            sizes, classes = set_classes(h, rows, len(batch))
-            ends = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(classes), pa.ListArray.from_arrays(pa.array(ends), pa.array(h.view(np.int64)))], names=["cls", "elements"])
-
-    sets = texts.mapInArrow(each, "cls long, elements array<long>").join(classes, "cls", "left_semi")
-    left = pairs.join(sets.withColumnsRenamed({"cls": "a", "elements": "x"}), "a")
-    both = left.join(sets.withColumnsRenamed({"cls": "b", "elements": "y"}), "b")
-    shared = F.size(F.array_intersect("x", "y"))
-    return both.where(100 * shared >= PERCENT * (F.size("x") + F.size("y") - shared)).select("a", "b").distinct()
+            own = batch.column("t")
+            _, found = set_classes(*shingle_sets(own), len(batch))
+            data = [x.as_buffer() for x in own]
+            sizes = np.array([x.size for x in data], np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(sizes), pa.array([pa.compress(x, codec="zstd", asbytes=True) for x in data], pa.binary())], names=["cls", "size", "z"])
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = np.stack([batch.column(c).to_numpy() for c in ("x_size", "y_size")], axis=1)
+            ends, start = np.cumsum(sizes.sum(axis=1)), 0
+            while start < len(batch):
+                base = ends[start - 1] if start else 0
+                stop = max(start + 1, int(np.searchsorted(ends, base + CHUNK_BYTES, side="right")))
+                part = batch.slice(start, stop - start)
+                packed = zip(part.column("x").to_pylist(), part.column("y").to_pylist(), sizes[start:stop].tolist(), strict=True)
+                n, both = _shared([pa.decompress(z, decompressed_size=k, codec="zstd", asbytes=True) for x, y, (k, m) in packed for z, k in ((x, k), (y, m))])
+                yield part.select(["a", "b"]).filter(pa.array(100 * both >= PERCENT * (n.sum(axis=1) - both)))
+                start = stop
+
+    packed = texts.mapInArrow(pack, "cls long, size long, z binary").join(classes, "cls", "left_semi").dropDuplicates(["cls"])
+    left = pairs.join(packed.withColumnsRenamed({"cls": "a", "size": "x_size", "z": "x"}), "a")
+    both = left.join(packed.withColumnsRenamed({"cls": "b", "size": "y_size", "z": "y"}), "b")
+    return both.select("a", "b", "x_size", "y_size", "x", "y").mapInArrow(judge, "a long, b long").distinct()
 
 
 def linked_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
