@@ -153,6 +153,25 @@ def test_light_sets_and_boundary(spark):
     assert op4.needed(8, 8) == 7 and op4.subset_sizes(3, 8) == [3] and op4.choose_boundary({}, 0.0) == 0
 
 
+def test_near_copies_are_verified_on_whole_texts(spark):
+    import random
+
+    rng = random.Random(1)
+    base = [str(rng.randrange(10**6)) for _ in range(300)]
+    rows = []
+    for i in range(40):
+        near = list(base)
+        for _ in range(rng.randrange(14)):
+            near[rng.randrange(300)] = f"x{rng.random()}"
+        rows.append((i, " ".join(near)))
+    rows += [rows[7]] * 3
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert collected(op4.linked_components(frame), "doc_id", "n_shingles", "component_id") == sorted(plain_components(rows), key=repr)
+    texts = [b"a b c d e f", b"A b c d e g", b"", b"one", b"one", b"one"]
+    sizes, both = op4._shared(texts)
+    assert sizes.tolist() == [[2, 2], [0, 1], [1, 1]] and both.tolist() == [1, 0, 1]
+
+
 PAGE = """<!doctype html><html><head><title>T</title><script>x='</p>'</script></head><body><nav><ul><li><a href=a>One, two, three, four.</a></ul></nav>
 <div class="cookie-notice">We use cookies, as all do. Accept them, please, now.</div><main><article><h1>Head &amp; tail</h1><p>First <b>bold
 text</b>, with&nbsp;commas, and more of it. It goes on.<p>Second<br>paragraph, unclosed. &#233;</article></main><!-- no > here --><aside>Aside, text.</aside>
