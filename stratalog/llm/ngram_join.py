@@ -253,11 +253,13 @@ def _sketches_allow(n: Column, m: Column, mark: str = "_") -> Column:
 
 def _texts_of(classes: DataFrame, docs: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
     """One document's text for each of the classes, and the classes with that document."""
-    chosen = cut(known.where("n > 0").join(classes, "cls", "left_semi").groupBy("cls").agg(F.min("d").alias("d")))
-    ids = chosen.select("d").distinct()
+    # Picked by a hash of id and text, as all documents of a class may lack an id; one that clashes falls out by its class.
+    pick = F.xxhash64("d", "th")
+    chosen = cut(known.where("n > 0").join(classes, "cls", "left_semi").groupBy("cls").agg(F.min(pick).alias("k")))
+    ids = chosen.select("k").distinct()
     if chosen.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
-    return docs.join(ids, "d", "left_semi").select("t"), chosen.select("cls")
+    return docs.withColumn("k", pick).join(ids, "k", "left_semi").select("t"), chosen.select("cls")
 
 
 def _sketched(lists: DataFrame, docs: DataFrame, known: DataFrame) -> DataFrame:

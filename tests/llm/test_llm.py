@@ -172,6 +172,26 @@ def test_near_copies_are_verified_on_whole_texts(spark):
     assert sizes.tolist() == [[2, 2], [0, 1], [1, 1]] and both.tolist() == [1, 0, 1]
 
 
+def test_near_copies_without_id_are_linked(spark):
+    import random
+
+    rng = random.Random(2)
+    texts = [[str(rng.randrange(10**6)) for _ in range(120)] for _ in range(6)]
+    near = lambda ws, k: " ".join([*ws[:k], f"x{k}", *ws[k + 1 :]])
+    rows = [(10 + i, " ".join(ws)) for i, ws in enumerate(texts[:4])] + [(None, near(ws, 30)) for ws in texts]
+    # The document without id joins two that are not linked with one another.
+    far = texts[0][:105] + [f"z{k}" for k in range(15)]
+    rows += [(None, " ".join(texts[0][:112] + far[112:])), (5, " ".join(far)), (None, near(texts[5], 60))]
+    root = plain_components([(k, t) for k, (_, t) in enumerate(rows)])
+    least = {}
+    for (i, _), (_, _, c) in zip(rows, root, strict=True):
+        least[c] = min((x for x in (least.get(c), i) if x is not None), default=None)
+    want = [(i, n, least[c]) for (i, _), (_, n, c) in zip(rows, root, strict=True)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert collected(op4.linked_components(frame), "doc_id", "n_shingles", "component_id") == sorted(want, key=repr)
+    assert op4.one_per_component(frame).count() == len({c for _, _, c in root})
+
+
 PAGE = """<!doctype html><html><head><title>T</title><script>x='</p>'</script></head><body><nav><ul><li><a href=a>One, two, three, four.</a></ul></nav>
 <div class="cookie-notice">We use cookies, as all do. Accept them, please, now.</div><main><article><h1>Head &amp; tail</h1><p>First <b>bold
 text</b>, with&nbsp;commas, and more of it. It goes on.<p>Second<br>paragraph, unclosed. &#233;</article></main><!-- no > here --><aside>Aside, text.</aside>
