@@ -2,8 +2,8 @@
 
 Items and documents are lower-cased (A-Z) and cut into words of digits, a-z and non-ASCII characters.  Each document's
 words run through the automaton, which tracks the longest match that ends at each word; a match of `window` words, or
-of a whole shorter item, is a hit.  Spans of `span_limit` hit words or more are removed, and a document of which a
-larger share than `coverage_limit` is hit is marked over_limit.
+of a whole shorter item, is a hit.  Spans of `span_limit` hit words or more, and those that hold a whole shorter item, are
+removed, and a document of which a larger share than `coverage_limit` is hit is marked over_limit.
 
 The items, a test set, are dealt into blocks of at most `block_words` words, each with an automaton of its own; the
 automata are the only thing broadcast, one block at a time, so memory is bounded by block_words however many items
@@ -28,6 +28,8 @@ from pyspark.sql import types as T
 from stratalog.llm.common import sized_chunks, spark_of
 
 WINDOW = 10
+#: Bit of a word that is hit by a whole item shorter than the window.
+WHOLE = 2
 
 #: Every byte as a word byte (A-Z lower-cased) or as a blank.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -118,7 +120,7 @@ class Automaton:
                     self.short[v] = ends
 
     def hits(self, text: bytes) -> tuple[int, np.ndarray | None, set[str]]:
-        """The number of words, which of them are hit (None: none), and the items found."""
+        """The number of words, which of them are hit (1; WHOLE: by a whole item shorter than the window; None: none), and the items found."""
         ws = words(text)
         if len(ws) < self.least or not self.vocabulary:
             return len(ws), None, set()
@@ -137,19 +139,20 @@ class Automaton:
                     matched = length[state]
                 if to is not None:
                     state, matched = to, matched + 1
-                most = 0
+                most = whole = 0
                 if matched >= window:
                     most = window
                     found |= self.found[self.at_window[state]]
                 if self.short:
                     for m, name in self.short.get(state, ()):
                         if m <= matched:
-                            most = max(most, m)
+                            whole = max(whole, m)
                             found.add(name)
-                if most:
+                if most or whole:
                     if mask is None:
-                        mask = np.zeros(len(ws), bool)
-                    mask[i + 1 - most : i + 1] = True
+                        mask = np.zeros(len(ws), np.uint8)
+                    mask[i + 1 - most : i + 1] |= 1
+                    mask[i + 1 - whole : i + 1] |= WHOLE
         return len(ws), mask, found
 
 
@@ -158,13 +161,13 @@ def _runs(mask: np.ndarray) -> np.ndarray:
 
 
 def _without(text: bytes, mask: np.ndarray, least: int) -> bytes:
-    """text without the hit spans of `least` words or more."""
+    """text without the hit spans of `least` words or more, or that hold a whole short item."""
     folded = np.frombuffer(text.translate(_FOLD), np.uint8) != 32
     edge = np.flatnonzero(np.diff(np.concatenate(([False], folded, [False])).view(np.int8)))
     kept, at = [], 0
-    runs = _runs(mask)
+    runs = _runs(mask > 0)
     for a, b in zip(runs[::2].tolist(), runs[1::2].tolist(), strict=True):
-        if b - a >= least:
+        if b - a >= least or (mask[a:b] & WHOLE).any():
             kept.append(text[at : edge[2 * a]])
             at = int(edge[2 * b - 1])
     return b"".join([*kept, text[at:]])
@@ -191,7 +194,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text: str = "text",
     out = docs.select(*[c for c in docs.columns if c not in added])
     plain = out.schema
     columns = plain.names
-    # _mask: which words are hit so far, a byte each; null while none is.
+    # _mask: how words are hit so far, a byte each; null while none is.
     work = T.StructType([*plain.fields, T.StructField("n_words", T.LongType()), T.StructField("_mask", T.BinaryType()), T.StructField("items", T.ArrayType(T.StringType()))])
     sc = spark_of(docs).sparkContext
     for block in _blocks(benchmark, item_id, item_text, block_words):
@@ -207,7 +210,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text: str = "text",
                 for t, m, i in zip(batch.column(text).cast(pa.binary()), before, items_before, strict=True):
                     n, mask, found = automaton.hits(t.as_py() or b"")
                     if mask is not None and m is not None:
-                        mask |= np.frombuffer(m, bool)
+                        mask |= np.frombuffer(m, np.uint8)
                     counts.append(n)
                     masks.append(m if mask is None else mask.tobytes())
                     items.append(sorted(found | set(i)) if found else i)
@@ -220,8 +223,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text: str = "text",
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            masks = [None if m is None else np.frombuffer(m, bool) for m in batch.column("_mask").to_pylist()]
-            hit = [0 if m is None else int(m.sum()) for m in masks]
+            masks = [None if m is None else np.frombuffer(m, np.uint8) for m in batch.column("_mask").to_pylist()]
+            hit = [0 if m is None else int(np.count_nonzero(m)) for m in masks]
             over = [h > coverage_limit * n for h, n in zip(hit, batch.column("n_words").to_pylist(), strict=True)]
             carried = {c: batch.column(c) for c in columns}
             if clean and any(hit):

@@ -27,3 +27,12 @@ def test_stages(spark):
     assert rows(again) == fourth
     last = kept["mixing sources"]
     assert last.count() == len(fourth) and last.where("taken > 3 * size").count() == 0
+
+
+def test_short_items_are_cut(spark, tmp_path):
+    spark.createDataFrame([(1, "Paris is nice"), (2, " ".join(f"w{k}" for k in range(12)))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    own = " ".join(f"o{k}" for k in range(30))
+    docs = spark.createDataFrame([(1, f"{own} paris, is nice {own}", "en", "s", 0), (2, f"{own} paris is not nice", "en", "s", 0), (3, f"{own} w1 w2 w3 {own}", "en", "s", 0)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r.text.split() for r in pipeline.benchmark(spark, docs, str(tmp_path)).collect()}
+    assert got[1] == [*own.split(), *own.split()]
+    assert got[2] == [*own.split(), "paris", "is", "not", "nice"] and got[3] == [*own.split(), "w1", "w2", "w3", *own.split()]
