@@ -3,8 +3,11 @@
 Every block of text has a path: the open elements from the root to it, with classes and ids.  Per path, text length,
 punctuation and linked text are summed over its blocks; the ratios per block are smoothed over paths that follow one
 another in the page, fused into one score, and paths over a share of the best score are content.  Blocks inside the
-element that holds most of that content come along (headings, short paragraphs); elements whose name, class, id or role
-says that they are no article (menus, headers, footers, asides, notices, adverts, forms, comments) never do.
+element that holds most of that content come along (headings, short paragraphs); elements whose name says that they are no
+article (menus, headers, footers, asides, forms), or of which a whole class, id or role says so (notices, adverts,
+comments), never do.  A label that only has such a word as a part ("with-sidebar", "social-science") counts unless its
+element holds half of the page's unlinked text: such a one is a wrapper, which the ratios judge.  Where nothing is left,
+whole labels count like parts.
 
 Pages are independent, so each is handled whole inside a task and nothing is shuffled.
 
@@ -43,20 +46,50 @@ OUTSIDE_WORDS = frozenset(
     " newsletter notice overlay pager pagination popup promo promoted promotion related respond share sharing sidebar"
     " signup social sponsor sponsored sponsors subscribe toolbar widget widgets contentinfo complementary search".split()
 )
+#: Share of the page's unlinked text from which on an element is a wrapper.
+WRAPPER = 0.5
 PUNCTUATION = re.compile(r"[.,;:!?…、。，；：！？]")
 
 
 class _Block:
-    __slots__ = ("inside", "linked", "path", "pieces")
-
-    def __init__(self, path: tuple[str, ...], inside: bool):
-        self.path, self.inside, self.pieces, self.linked = path, inside, [], 0
+    """inside: whether no element around it is outside by name; whole, part: numbers of the elements around it with such labels."""
+
+    __slots__ = ("inside", "linked", "part", "path", "pieces", "whole")
+
+    def __init__(self, path: tuple[str, ...], inside: bool, whole: list[int], part: list[int]):
+        self.path, self.inside, self.whole, self.part, self.pieces, self.linked = path, inside, whole, part, [], 0
+
+
+def _outside(label: str) -> int:
+    """2: all parts of the label are outside words, 1: some, 0: none."""
+    words = [b.lower() in OUTSIDE_WORDS for b in re.split(r"[-_\d]+|(?<=[a-z])(?=[A-Z])", label) if b]
+    return (2 if all(words) else 1) if any(words) else 0
+
+
+def _judged(parts: list[tuple[_Block, str]]) -> list[tuple[_Block, str, bool]]:
+    """Blocks and texts with whether they may be of the article, by names and labels."""
+    for whole_counts in (True, False):
+        free = [b.inside and not (whole_counts and b.whole) for b, _ in parts]
+        held: dict[int, int] = {}
+        total = 0
+        for (b, text), f in zip(parts, free, strict=True):
+            if f:
+                size = max(len(text) - b.linked, 0)
+                total += size
+                for k in b.part if whole_counts else b.part + b.whole:
+                    held[k] = held.get(k, 0) + size
+        small = {k for k, size in held.items() if size < WRAPPER * total or not size}
+        inside = [f and small.isdisjoint(b.part if whole_counts else b.part + b.whole) for (b, _), f in zip(parts, free, strict=True)]
+        if any(inside):
+            break
+    return [(b, text, i) for (b, text), i in zip(parts, inside, strict=True)]
 
 
 def blocks(page: str) -> list[_Block]:
     """The blocks of text in page order."""
     found: list[_Block] = []
-    open_: list[tuple[str, str, bool]] = []  # name, label in the path, whether it may hold the article
+    open_: list[tuple[str, str, bool, int, int]] = []  # name, label in the path, whether it may hold the article, how labels count, number
+    opened = 0
     current: _Block | None = None
     links = 0
 
@@ -65,7 +98,7 @@ def blocks(page: str) -> list[_Block]:
         if current is None:
             if not piece.strip():
                 return
-            current = _Block(tuple(x[1] for x in open_ if x[0] not in INLINE), all(x[2] for x in open_))
+            current = _Block(tuple(x[1] for x in open_ if x[0] not in INLINE), all(x[2] for x in open_), [x[4] for x in open_ if x[3] == 2], [x[4] for x in open_ if x[3] == 1])
             found.append(current)
         current.pieces.append(piece)
         if links:
@@ -74,7 +107,7 @@ def blocks(page: str) -> list[_Block]:
     def close(k: int) -> None:
         """Ends the elements from the k-th on."""
         nonlocal current, links
-        for name, _, _ in open_[k:]:
+        for name, *_ in open_[k:]:
             links -= name == "a"
             if name not in INLINE:
                 current = None
@@ -129,11 +162,12 @@ def blocks(page: str) -> list[_Block]:
             if ends is not None:
                 close(ends)
         labels = [w for x in LABELS.findall(m[3]) for w in x.strip("\"'").split()] if m[3] else []
-        bits = {b for w in labels for b in re.split(r"[-_\d]+|(?<=[a-z])(?=[A-Z])", w)}
         within = name == "header" and any(x[0] in ("article", "main") for x in open_)  # an article's own heading
-        article = (name not in OUTSIDE or within) and not any(b.lower() in OUTSIDE_WORDS for b in bits) and not (m[3] and HIDDEN.search(m[3]))
+        article = (name not in OUTSIDE or within) and not (m[3] and HIDDEN.search(m[3]))
         links += name == "a"
-        open_.append((name, ".".join([name, *labels]), article or name in ("body", "html")))
+        top = name in ("body", "html")
+        opened += 1
+        open_.append((name, ".".join([name, *labels]), article or top, 0 if top else max(map(_outside, labels), default=0), opened))
     return found
 
 
@@ -143,10 +177,11 @@ def main_text(page: str | None, share: float = 0.1) -> str:
     for b in blocks(page or ""):
         if text := " ".join("".join(b.pieces).split()):
             parts.append((b, text))
+    judged = _judged(parts)
     # Sums per path, in the order in which paths first appear: blocks, characters, punctuation, linked characters.
     sums: dict[tuple[str, ...], list[float]] = {}
-    for b, text in parts:
-        if b.inside:
+    for b, text, inside in judged:
+        if inside:
             s = sums.setdefault(b.path, [0, 0, 0, 0])
             for k, v in enumerate((1, len(text), len(PUNCTUATION.findall(text)), min(b.linked, len(text)))):
                 s[k] += v
@@ -167,7 +202,7 @@ def main_text(page: str | None, share: float = 0.1) -> str:
     total = weight[()] if weight else 0
     top = max((p for p, w in weight.items() if w >= 0.8 * total), key=len, default=())
     linky = lambda p: sums[p][3] > 0.6 * sums[p][1]
-    return "\n\n".join(text for b, text in parts if b.inside and (b.path in chosen or b.path[: len(top)] == top and not linky(b.path)))
+    return "\n\n".join(text for b, text, inside in judged if inside and (b.path in chosen or b.path[: len(top)] == top and not linky(b.path)))
 
 
 def extract(pages: DataFrame, *, html: str = "html") -> DataFrame:

@@ -208,6 +208,14 @@ def test_html_extract(spark):
     assert op5.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+@pytest.mark.parametrize("label", ['class="content with-sidebar"', 'class="no-ads"', 'class="has-comments"', 'id="social-science"', 'class="header"'])
+def test_html_wrappers_with_label_words(label):
+    body = PAGE[PAGE.index("<nav>") : PAGE.index("</body>")]
+    assert op5.main_text(f"<html><body><div {label}>{body}</div></body></html>") == op5.main_text(PAGE)
+    lists = '<div class="related-posts"><p>Another one, somewhere else.</p></div>'
+    assert op5.main_text(f"<html><body><div {label}>{body}{lists}</div></body></html>") == op5.main_text(PAGE)
+
+
 def test_lm_score(docs, doc_rows, empty):
     tokens = [[*split(t, low=True), None] for _, t, *_ in doc_rows]
     held = [zlib.crc32(str(i).encode()) % 10 == 0 for i, *_ in doc_rows]
