@@ -1,16 +1,18 @@
 """Language-model scoring with an Elias-Fano n-gram trie.
 
-A bigram model of word classes.  Every word that occurs often enough in the training texts is a class of its own (at
-most `most_words`, so that their table may be broadcast: the threshold is the least count that not more words reach);
-all rarer words form one class, within which a word has its own share by its exact count.  With u before w:
+A bigram model of words.  With u before w:
 
     p(w | u) = (c(u, w) + m p(w)) / (c(u) + m)
 
-Bigram counts are dealt by context, frequent contexts over several shards, and each shard's bigrams become a trie:
-contexts, monotone pointers and successors in Elias-Fano form, and smoothed log probabilities quantised to 8 bits.  To
-score, the texts' bigrams go to their shard, are looked up there in the memory-mapped trie, and come back as a sum per
-text.  Counts of rare words meet their texts in a join.  So nothing that grows with the corpus is broadcast, and every
-count covers all training texts.
+Words that occur often enough in the training texts have a number (at most `most_words`, so that their table may be
+broadcast: the threshold is the least count that not more words reach); all others go by their hash, and have contexts
+and successors of their own just the same.  Bigram counts are dealt by the second word, frequent ones over several
+shards.  Each word has one word before it, so a shard's counts of a rare word add up to c(w).  Each shard's bigrams
+become two tries, one of numbered words and one with the shard's own vocabulary of hashes: first level, monotone
+pointers and second level in Elias-Fano form, and smoothed log probabilities quantised to 8 bits.  To score, the texts'
+bigrams go to their shard, are looked up there in the memory-mapped tries, and come back as a sum per text.  Where u is
+rare, log(c(u) + m) is taken off in a join of rare words' counts with their texts.  So nothing that grows with the
+corpus is broadcast, and every count covers all training texts.
 
 A bigram's probability is 0.03 in log10 from exact at most (quantisation over the shard's range of values).
 
@@ -41,6 +43,7 @@ ADD = 0.1
 
 _END = mix(np.array([0xE0D], np.uint64))[0]
 _WIDE = 20  # bits of a class number
+_RARE = np.uint64(1 << 63)
 _ZSTD = pa.Codec("zstd", compression_level=1)
 
 
@@ -86,43 +89,84 @@ def _word_counts(source: DataFrame) -> DataFrame:
 
 
 class Classes:
-    """Class numbers: 0 rare words, 1 the start of a text, from 2 on the frequent words by hash; counts of each."""
+    """Numbers: 1 the start of a text, from 2 on the frequent words by hash; rare words are their hash with the top bit set.  Counts."""
 
-    def __init__(self, hashes: np.ndarray, counts: np.ndarray, rare: int, texts: int, rare_words: int, total: int, distinct: int, shards: int):
+    def __init__(self, hashes: np.ndarray, counts: np.ndarray, texts: int, total: int, distinct: int, shards: int):
         self.hashes, self.shards = hashes, shards
-        self.total, self.distinct, self.rare_words = total, distinct, rare_words
-        self.count = np.concatenate(([rare, texts], counts)).astype(np.float64)
-        uses = self.count.copy()
-        uses[1] = 0  # the start never follows
-        self.p = (uses + ADD) / (uses.sum() + ADD * len(uses))
+        self.total, self.distinct = total, distinct
+        self.count = np.concatenate(([0, texts], counts)).astype(np.float64)
         self.spread = np.ceil(self.count / (SHARD_TOKENS / 4)).astype(np.int64).clip(1)
 
     def of(self, tokens: np.ndarray) -> np.ndarray:
+        rare = tokens | _RARE
         if not len(self.hashes):
-            return np.zeros(len(tokens), np.int64)
+            return rare
         at = np.searchsorted(self.hashes, tokens)
         at[at == len(self.hashes)] = 0
-        return np.where(self.hashes[at] == tokens, at + 2, 0)
+        return np.where(self.hashes[at] == tokens, at.astype(np.uint64) + np.uint64(2), rare)
 
-    def bigrams(self, ids: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    def bigrams(self, ids: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each token and the one before it."""
         before = np.empty_like(ids)
         before[0], before[1:] = 1, ids[:-1]
         before[1:][owner[1:] != owner[:-1]] = 1
-        return (before << _WIDE) | ids
+        return ids, before
 
-    def shard(self, keys: np.ndarray) -> np.ndarray:
-        u, w = keys >> _WIDE, keys & ((1 << _WIDE) - 1)
-        part = w % self.spread[u]
-        return (mix((u << _WIDE | part).astype(np.uint64)) % np.uint64(self.shards)).astype(np.int64)
+    def shard(self, w: np.ndarray, u: np.ndarray) -> np.ndarray:
+        key = w.copy()
+        often = w < _RARE
+        own = w[often]
+        key[often] = (own << np.uint64(_WIDE)) | u[often] % self.spread[own.astype(np.int64)].astype(np.uint64)
+        return (mix(key) % np.uint64(self.shards)).astype(np.int64)
+
+    def p(self, counts):
+        return (counts + ADD) / (self.total + ADD * (self.distinct + 1))
 
     def smoothed(self, keys: np.ndarray, counts) -> np.ndarray:
-        u, w = keys >> _WIDE, keys & ((1 << _WIDE) - 1)
-        return np.log10((counts + PRIOR * self.p[w]) / (self.count[u] + PRIOR))
+        """Of numbered words, keys w << _WIDE | u."""
+        w, u = keys >> _WIDE, keys & ((1 << _WIDE) - 1)
+        return np.log10((counts + PRIOR * self.p(self.count[w])) / (self.count[u] + PRIOR))
+
+    def follows(self, w: np.ndarray, counts, rare_counts: np.ndarray) -> np.ndarray:
+        """log10(c(u, w) + m p(w)), c(w) of rare words as given."""
+        often = w < _RARE
+        c = rare_counts.astype(np.float64)
+        c[often] = self.count[w[often].astype(np.int64)]
+        return np.log10(counts + PRIOR * self.p(c))
+
+
+class Hashed:
+    """A trie of bigrams with rare words, over the words' places in a sorted vocabulary, with counts of its rare words."""
+
+    def __init__(self, data: np.ndarray):
+        n = int(data[:8].view("<i8")[0])
+        self.words, self.counts = data[8 : 8 + 8 * n].view("<u8"), data[8 + 8 * n : 8 + 16 * n].view("<i8")
+        self.trie = Trie(data[8 + 16 * n :])
+
+    @staticmethod
+    def pack(w: np.ndarray, u: np.ndarray, n: np.ndarray, classes: Classes) -> bytes:
+        """From distinct bigrams sorted by (w, u)."""
+        words = np.unique(np.concatenate((w, u)))
+        first, second = np.searchsorted(words, w), np.searchsorted(words, u)
+        counts = np.bincount(first, weights=n, minlength=len(words)).astype("<i8")
+        values = classes.follows(w, n, counts[first])
+        return np.array([len(words)], "<i8").tobytes() + words.tobytes() + counts.tobytes() + Trie.pack(first, second, values)
+
+    def values(self, w: np.ndarray, u: np.ndarray, classes: Classes) -> np.ndarray:
+        if not len(self.words):
+            return classes.follows(w, 0.0, np.zeros(len(w)))
+        first, second = (np.minimum(np.searchsorted(self.words, x), len(self.words) - 1) for x in (w, u))
+        has = self.words[first] == w
+        out = classes.follows(w, 0.0, np.where(has, self.counts[first], 0))
+        both = np.flatnonzero(has & (self.words[second] == u))
+        held, found = self.trie.find(first[both], second[both])
+        out[both[held]] = found
+        return out
 
 
 def _squeeze(x: np.ndarray) -> bytes:
     """Integers compressed by byte planes."""
-    planes = np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1).T.tobytes()
+    planes = np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
     return np.array([len(planes)], "<i8").tobytes() + _ZSTD.compress(planes, asbytes=True)
 
 
@@ -130,7 +174,7 @@ def _expand(data: bytes, kind: str) -> np.ndarray:
     size = int(np.frombuffer(data[:8], "<i8")[0])
     width = np.dtype(kind).itemsize
     planes = np.frombuffer(_ZSTD.decompress(data[8:], decompressed_size=size, asbytes=True), np.uint8) if size else np.zeros(0, np.uint8)
-    return np.ascontiguousarray(planes.reshape(width, -1).T).reshape(-1).view(kind)
+    return np.ascontiguousarray(planes.reshape(width, size // width).T).reshape(-1).view(kind)
 
 
 def _rises(sorted_: np.ndarray) -> bytes:
@@ -141,55 +185,79 @@ def _falls(data: bytes) -> np.ndarray:
     return np.cumsum(_expand(data, "<i8"))
 
 
-def _by_shard(classes: Classes, keys: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """For each shard the places of its keys, in order."""
-    shard = classes.shard(keys)
-    order = np.argsort(shard.astype(np.uint16) if classes.shards <= 1 << 16 else shard, kind="stable")
+def _by_shard(classes: Classes, w: np.ndarray, u: np.ndarray) -> Iterator[tuple[int, np.ndarray, bytes, bytes, bytes]]:
+    """For each shard the places of its bigrams, numbered words first, and these packed: keys of the numbered, w and u of the others.
+
+    w and u are sorted, w first.
+    """
+    shard = classes.shard(w, u)
+    mixed = (w | u) >= _RARE
+    order = np.lexsort((mixed, shard.astype(np.uint16) if classes.shards <= 1 << 16 else shard))
     cuts = np.searchsorted(shard[order], np.arange(classes.shards + 1))
     for s in range(classes.shards):
         if cuts[s] < cuts[s + 1]:
-            yield s, order[cuts[s] : cuts[s + 1]]
+            at = order[cuts[s] : cuts[s + 1]]
+            k = len(at) - int(mixed[at].sum())
+            plain, other = at[:k], at[k:]
+            yield s, at, _rises(((w[plain] << np.uint64(_WIDE)) | u[plain]).astype(np.int64)), _rises(w[other].view(np.int64)), _squeeze(u[other])
+
+
+def _sorted(w: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order by (w, u), and which are new in it."""
+    order = np.lexsort((u, w))
+    new = np.ones(len(w), bool)
+    new[1:] = (w[order][1:] != w[order][:-1]) | (u[order][1:] != u[order][:-1])
+    return order, new
 
 
-_SHARDED = "shard int, kind int, a binary, b binary, c binary"
+_SHARDED = "shard int, kind int, a binary, b binary, c binary, w binary, u binary"
 
 
 def _sharded(rows: list[tuple]) -> pa.RecordBatch:
-    shard, kind, a, b, c = zip(*rows, strict=True)
-    return pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), pa.array(kind, pa.int32()), *[pa.array(x, pa.binary()) for x in (a, b, c)]], names=["shard", "kind", "a", "b", "c"])
+    shard, kind, *rest = zip(*rows, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), pa.array(kind, pa.int32()), *[pa.array(x, pa.binary()) for x in rest]], names=["shard", "kind", "a", "b", "c", "w", "u"])
 
 
 def _tries(source: DataFrame, shared) -> DataFrame:
-    """The model: a row for each shard, with its trie in `a`."""
+    """The model: a row for each shard, with its tries in `a` and `w`."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes = shared.value
         for tokens, owner, _, _ in _pieces(batches):
-            keys, n = np.unique(classes.bigrams(classes.of(tokens), owner), return_counts=True)
-            for s, at in _by_shard(classes, keys):
-                yield _sharded([(s, 0, _rises(keys[at]), _squeeze(n[at].astype("<i4")), None)])
+            w, u = classes.bigrams(classes.of(tokens), owner)
+            order, new = _sorted(w, u)
+            first = np.flatnonzero(new)
+            n = np.diff(np.concatenate((first, [len(w)])))
+            for s, at, keys, w_, u_ in _by_shard(classes, w[order[first]], u[order[first]]):
+                yield _sharded([(s, 0, keys, _squeeze(n[at].astype("<i4")), None, w_, u_)])
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes, now, keys, counts = shared.value, None, [], []
+        classes, now, keys, counts, others = shared.value, None, [], [], []
 
         def merge() -> None:
             k, inverse = np.unique(np.concatenate(keys), return_inverse=True)
             n = np.bincount(inverse, weights=np.concatenate(counts), minlength=len(k))
             keys[:], counts[:] = [k], [n]
+            w, u, n = (np.concatenate(x) for x in zip(*others, strict=True))
+            order, new = _sorted(w, u)
+            others[:] = [(w[order][new], u[order][new], np.add.reduceat(n[order], np.flatnonzero(new)) if len(n) else n)]
 
         def trie() -> pa.RecordBatch:
             merge()
             k = keys[0]
-            return _sharded([(now, 0, Trie.pack(k >> _WIDE, k & ((1 << _WIDE) - 1), classes.smoothed(k, counts[0])), None, None)])
+            return _sharded([(now, 0, Trie.pack(k >> _WIDE, k & ((1 << _WIDE) - 1), classes.smoothed(k, counts[0])), None, None, Hashed.pack(*others[0], classes), None)])
 
         for batch in batches:
-            for s, a, b in zip(batch.column("shard").to_pylist(), batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+            for s, a, b, w, u in zip(*(batch.column(c).to_pylist() for c in ("shard", "a", "b", "w", "u")), strict=True):
                 if now is not None and s != now:
                     yield trie()
-                    keys, counts = [], []
+                    keys, counts, others = [], [], []
                 now = s
                 keys.append(_falls(a))
-                counts.append(_expand(b, "<i4").astype(np.float64))
+                n = _expand(b, "<i4").astype(np.float64)
+                k = len(keys[-1])
+                counts.append(n[:k])
+                others.append((_falls(w).view(np.uint64), _expand(u, "<u8"), n[k:]))
                 if len(keys) > 16:
                     merge()
         if keys:
@@ -200,49 +268,57 @@ def _tries(source: DataFrame, shared) -> DataFrame:
 
 
 def _bigram_scores(source: DataFrame, model: DataFrame, shared) -> DataFrame:
-    """row, s: parts of the summed log10 probabilities of each text's classes."""
+    """row, s: parts of the summed log10 probabilities of each text, but for log10(c(u) + m) of rare u."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes = shared.value
         for tokens, owner, names, _ in _pieces(batches):
-            keys = classes.bigrams(classes.of(tokens), owner)
-            order = np.argsort(keys, kind="stable")
-            keys, owner = keys[order], owner[order]
-            for s, at in _by_shard(classes, keys):
+            w, u = classes.bigrams(classes.of(tokens), owner)
+            order, _ = _sorted(w, u)
+            owner = owner[order]
+            for s, at, keys, w_, u_ in _by_shard(classes, w[order], u[order]):
                 texts, own = np.unique(owner[at], return_inverse=True)
-                yield _sharded([(s, 1, _rises(keys[at]), _squeeze(own.astype("<u2")), _squeeze(names[texts].astype("<i8")))])
+                yield _sharded([(s, 1, keys, _squeeze(own.astype("<u4")), _squeeze(names[texts].astype("<i8")), w_, u_)])
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes, now, trie = shared.value, None, None
-        with tempfile.TemporaryFile() as file:
+        classes, now, trie, hashed = shared.value, None, None, None
+        empty = Hashed.pack(*[np.zeros(0, np.uint64)] * 2, np.zeros(0), classes)
+        with tempfile.TemporaryFile() as file, tempfile.TemporaryFile() as more:
             for batch in batches:
                 for i in range(len(batch)):
                     s, kind = batch.column("shard")[i].as_py(), batch.column("kind")[i].as_py()
                     a = batch.column("a")[i].as_buffer()
                     if kind == 0:
-                        file.seek(0)
-                        file.truncate()
-                        file.write(a)
-                        file.flush()
-                        now, trie = s, Trie(np.memmap(file, np.uint8, "r"))
+                        for f, data in ((file, a), (more, batch.column("w")[i].as_buffer())):
+                            f.seek(0)
+                            f.truncate()
+                            f.write(data)
+                            f.flush()
+                        now, trie, hashed = s, Trie(np.memmap(file, np.uint8, "r")), Hashed(np.memmap(more, np.uint8, "r"))
                         continue
                     keys = _falls(a.to_pybytes())
                     texts = _expand(batch.column("c")[i].as_py(), "<i8")
-                    own = _expand(batch.column("b")[i].as_py(), "<u2")
-                    new = np.concatenate(([True], keys[1:] != keys[:-1]))
+                    own = _expand(batch.column("b")[i].as_py(), "<u4")
+                    w, u = _falls(batch.column("w")[i].as_py()).view(np.uint64), _expand(batch.column("u")[i].as_py(), "<u8")
+                    new = np.ones(len(keys), bool)
+                    new[1:] = keys[1:] != keys[:-1]
                     single, which = keys[new], np.cumsum(new) - 1
                     value = classes.smoothed(single, 0.0)
                     if trie is not None and now == s:
-                        held, values = trie.find(single >> _WIDE, single & ((1 << _WIDE) - 1))
-                        value[held] = values
-                    yield pa.RecordBatch.from_arrays([pa.array(texts), pa.array(np.bincount(own, weights=value[which], minlength=len(texts)))], names=["row", "s"])
+                        held, found = trie.find(single >> _WIDE, single & ((1 << _WIDE) - 1))
+                        value[held] = found
+                    other = (hashed if now == s else Hashed(np.frombuffer(empty, np.uint8))).values(w, u, classes)
+                    often = u < _RARE
+                    other[often] -= np.log10(classes.count[u[often].astype(np.int64)] + PRIOR)
+                    values = np.concatenate((value[which], other))
+                    yield pa.RecordBatch.from_arrays([pa.array(texts), pa.array(np.bincount(own, weights=values, minlength=len(texts)))], names=["row", "s"])
 
     asked = source.mapInArrow(ask, _SHARDED).union(model)
     return asked.repartition("shard").sortWithinPartitions("shard", "kind").mapInArrow(answer, "row long, s double")
 
 
 def _word_scores(source: DataFrame, counts: DataFrame, shared, rare_least: int) -> DataFrame:
-    """Per text: tokens, known tokens, base score, and the part of the score within the class of rare words."""
+    """Per text: tokens, known tokens, base score, and what the score lacks for rare words that others follow."""
     classes: Classes = shared.value
     all_ = classes.total + ADD * (classes.distinct + 1)
 
@@ -251,9 +327,9 @@ def _word_scores(source: DataFrame, counts: DataFrame, shared, rare_least: int)
         base = np.log10((classes.count + ADD) / all_)
         for tokens, owner, names, _ in _pieces(batches):
             ids, m = classes.of(tokens), len(names)
-            rare = ids == 0
+            rare = ids >= _RARE
             frequent = np.bincount(owner[~rare], minlength=m)
-            sums = np.bincount(owner[~rare], weights=base[ids[~rare]], minlength=m)
+            sums = np.bincount(owner[~rare], weights=base[ids[~rare].astype(np.int64)], minlength=m)
             total = np.bincount(owner, minlength=m)
             # A row for each text, and one for each of its rare words.
             h, own = tokens[rare], owner[rare]
@@ -279,13 +355,14 @@ def _word_scores(source: DataFrame, counts: DataFrame, shared, rare_least: int)
     rare = counts.where(F.col("c") < rare_least).withColumnRenamed("h", "_h")
     joined = rows.join(rare, (rows["h"] == rare["_h"]) & (rows["n"] > 0), "left")
     c = F.coalesce("c", F.lit(0))
-    share = F.log10((c + ADD) / F.lit(float(classes.count[0] + ADD * (classes.rare_words + 1))))
+    # The end of a text is followed by nothing.
+    before = (F.col("n") > 0) & (rows["h"] != int(_END.view(np.int64)))
     return joined.groupBy("row").agg(
         F.sum("texts").alias("texts"),
         F.sum("n_tokens").alias("n_tokens"),
         F.sum(F.col("known") + F.when(c > 0, F.col("n")).otherwise(0)).alias("known"),
         F.sum(F.col("base") + F.when(F.col("n") > 0, F.col("n") * F.log10((c + ADD) / F.lit(all_))).otherwise(0.0)).alias("base"),
-        F.sum(F.when(F.col("n") > 0, F.col("n") * share).otherwise(0.0)).alias("within"),
+        F.sum(F.when(before, -F.col("n") * F.log10(c + PRIOR)).otherwise(0.0)).alias("before"),
     )
 
 
@@ -312,11 +389,11 @@ def score(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", most_w
     if power is not None:
         over, _ = reaching(counts.where(F.expr("cast(floor(log2(c)) as int)") == power), "c", above)
         least = over + 1
-    frequent = counts.where(F.col("c") >= least).toArrow()
+    frequent = counts.where((F.col("c") >= least) | (F.col("h") == int(_END.view(np.int64)))).toArrow()
     h, c = frequent.column("h").to_numpy().view(np.uint64), frequent.column("c").to_numpy()
     order = np.argsort(h)
     texts = named.where("train").count()
-    classes = Classes(h[order], c[order], total - int(c.sum()), texts, distinct - len(h), total, distinct, max(LEAST_SHARDS, -(-total // SHARD_TOKENS)))
+    classes = Classes(h[order], c[order], texts, total, distinct, max(LEAST_SHARDS, -(-total // SHARD_TOKENS)))
     shared = spark_of(docs).sparkContext.broadcast(classes)
 
     model = _tries(named, shared)
@@ -331,5 +408,5 @@ def score(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", most_w
         whole("known").alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
         (F.col("base") / F.col("texts")).alias("base_score"),
-        ((F.col("bigram") + F.col("within")) / F.col("texts")).alias("score"),
+        ((F.col("bigram") + F.col("before")) / F.col("texts")).alias("score"),
     )

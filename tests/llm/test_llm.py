@@ -230,6 +230,20 @@ def test_lm_score(docs, doc_rows, empty):
     assert op6.score(empty).count() == 0
 
 
+def test_lm_score_of_rare_words(docs, doc_rows):
+    tokens = [[*split(t, low=True), None] for _, t, *_ in doc_rows]
+    train = [ws for (i, *_), ws in zip(doc_rows, tokens) if zlib.crc32(str(i).encode()) % 10]
+    c = Counter(w for ws in train for w in ws)
+    two = Counter(p for ws in train for p in zip(["", *ws], ws))
+    before = c | {"": len(train)}
+    n, v = sum(c.values()), len(c)
+    p = lambda u, w: (two[u, w] + 300 * (c[w] + 0.1) / (n + 0.1 * (v + 1))) / (before.get(u, 0) + 300)
+    want = sorted((i, len(ws), sum(math.log10(p(u, w)) for u, w in zip(["", *ws], ws))) for (i, *_), ws in zip(doc_rows, tokens))
+    for most_words in (1 << 18, 40, 0):
+        got = sorted((r.doc_id, r.n_tokens, r.score) for r in op6.score(docs, most_words=most_words).collect())
+        assert all(abs(g[2] - w[2]) <= 0.03 * w[1] for g, w in zip(got, want, strict=True))
+
+
 def test_elias_fano_round_trip():
     rng = np.random.default_rng(1)
     for n, top in ((1, 0), (300, 10), (2000, 10**7)):
