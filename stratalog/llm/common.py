@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -35,10 +36,42 @@ def spark_of(df: DataFrame) -> SparkSession:
     return df.sparkSession
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Names like these that no column of df bears, whatever the case, for columns an operator adds and drops again."""
+    held = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in held:
+            name += "_"
+        held.add(name.lower())
+        out.append(name)
+    return out
+
+
+def quoted(name: str) -> Column:
+    """The column of that name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def others(df: DataFrame, *names: str) -> list[str]:
+    """Columns of df but those that bear one of these names, whatever the case."""
+    gone = {x.lower() for x in names}
+    return [c for c in df.columns if c.lower() not in gone]
+
+
+def small_batches(spark: SparkSession, most: int = 4 << 20) -> None:
+    """Bounds the bytes of each batch that this session passes to Python, unless they are bounded lower already."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key))) > most:
+        spark.conf.set(key, str(most))
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, set to a temporary one only where none is set (tests)."""
+    """The folder all executors share: spark.checkpoint.dir; a temporary one where none is set and the master is local (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="spark-checkpoint-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(found)

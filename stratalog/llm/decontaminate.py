@@ -5,13 +5,15 @@ words run through the automaton, which tracks the longest match that ends at eac
 of a whole shorter item, is a hit.  Spans of `span_limit` hit words or more, and those that hold a whole shorter item, are
 removed, and a document of which a larger share than `coverage_limit` is hit is marked over_limit.
 
-The items, a test set, are dealt into blocks of at most `block_words` words, each with an automaton of its own; the
-automata are the only thing broadcast, one block at a time, so memory is bounded by block_words however many items
-there are.  Documents are never shuffled.
+The items, a test set, are dealt into blocks of at most `block_words` words, each with an automaton of its own.  One block,
+the usual case, takes one pass over the documents and no shuffle.  More blocks take a pass each, one after the other, which
+writes the hits (by a 128-bit hash of the text) of the documents that have any; in the end these are joined with the
+documents.  A task holds one automaton at a time, so memory is bounded by block_words however many items there are.
 
 Defined results: a null text has no words and stays null; an item that is null or has no words never occurs; items
 that share an id count as one; an empty benchmark leaves all documents clean.  Repeated rows are judged alike.  Further
-columns pass through, unless they bear a name that is added (n_words, n_hit, items, over_limit), which is replaced.
+columns pass through, whatever their names, unless they bear one that is added (n_words, n_hit, items, over_limit), which is
+replaced.
 """
 
 from __future__ import annotations
@@ -25,9 +27,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stratalog.llm.common import sized_chunks, spark_of
+from stratalog.llm.common import cut, others, quoted, sized_chunks, small_batches, spark_of, unused
 
 WINDOW = 10
+ADDED = ("n_words", "n_hit", "items", "over_limit")
 #: Bit of a word that is hit by a whole item shorter than the window.
 WHOLE = 2
 
@@ -175,7 +178,7 @@ def _without(text: bytes, mask: np.ndarray, least: int) -> bytes:
 
 def _blocks(benchmark: DataFrame, item_id: str, text: str, block_words: int) -> Iterator[list[tuple[str, list[bytes]]]]:
     """Items by blocks of at most block_words words (or one item), read to the driver one after another in the order of ids."""
-    rows = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("i"), F.col(text).cast("binary").alias("t")).where("t is not null")
+    rows = benchmark.select(F.coalesce(quoted(item_id).cast("string"), F.lit("")).alias("i"), quoted(text).cast("binary").alias("t")).where("t is not null")
     block, held = [], 0
     for row in rows.orderBy("i", "t").toLocalIterator():
         ws = words(bytes(row.t))
@@ -188,49 +191,68 @@ def _blocks(benchmark: DataFrame, item_id: str, text: str, block_words: int) ->
     yield block
 
 
+def _hits(docs: DataFrame, text: str, block: list[tuple[str, list[bytes]]], window: int) -> DataFrame:
+    """key (the text's hash), mask and items of the documents that one block hits, once for each text."""
+    shared = spark_of(docs).sparkContext.broadcast(Automaton(block, window))
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sized_chunks(batches, "t", 2 << 20):
+            rows = [(k, mask.tobytes(), sorted(found)) for k, t in zip(batch.column("key").to_pylist(), batch.column("t"), strict=True) for _, mask, found in [shared.value.hits(t.as_py())] if mask is not None]
+            if rows:
+                yield pa.RecordBatch.from_pylist([dict(zip(("key", "mask", "items"), r, strict=True)) for r in rows], schema=pa.schema([("key", pa.string()), ("mask", pa.binary()), ("items", pa.list_(pa.string()))]))
+
+    rows = docs.select(F.md5(quoted(text).cast("binary")).alias("key"), quoted(text).cast("binary").alias("t")).where("t is not null")
+    return cut(rows.mapInArrow(each, "key string, mask binary, items array<string>").dropDuplicates(["key"]))
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, span_limit: int = WINDOW, coverage_limit: float = 0.5, clean: bool = True, block_words: int = 200_000) -> DataFrame:
     """docs with n_words, n_hit, items (ids, sorted as strings), over_limit and, if `clean`, `text` without the hit spans."""
-    added = ("n_words", "n_hit", "items", "over_limit")
-    out = docs.select(*[c for c in docs.columns if c not in added])
-    plain = out.schema
-    columns = plain.names
-    # _mask: how words are hit so far, a byte each; null while none is.
-    work = T.StructType([*plain.fields, T.StructField("n_words", T.LongType()), T.StructField("_mask", T.BinaryType()), T.StructField("items", T.ArrayType(T.StringType()))])
-    sc = spark_of(docs).sparkContext
-    for block in _blocks(benchmark, item_id, item_text, block_words):
-        shared = sc.broadcast(Automaton(block, window))
-
-        def stream(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            automaton = shared.value
-            for batch in sized_chunks(batches, text, 4 << 20):
-                again = "_mask" in batch.schema.names
-                before = batch.column("_mask").to_pylist() if again else [None] * len(batch)
-                items_before = batch.column("items").to_pylist() if again else [[]] * len(batch)
-                counts, masks, items = [], [], []
-                for t, m, i in zip(batch.column(text).cast(pa.binary()), before, items_before, strict=True):
-                    n, mask, found = automaton.hits(t.as_py() or b"")
-                    if mask is not None and m is not None:
-                        mask |= np.frombuffer(m, np.uint8)
-                    counts.append(n)
-                    masks.append(m if mask is None else mask.tobytes())
-                    items.append(sorted(found | set(i)) if found else i)
-                new = [pa.array(counts, pa.int64()), pa.array(masks, pa.binary()), pa.array(items, pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays([batch.column(c) for c in columns] + new, names=[*columns, "n_words", "_mask", "items"])
-
-        out = out.mapInArrow(stream, work)
-
-    final = T.StructType([*plain.fields, T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("items", T.ArrayType(T.StringType())), T.StructField("over_limit", T.BooleanType())])
-
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            masks = [None if m is None else np.frombuffer(m, np.uint8) for m in batch.column("_mask").to_pylist()]
-            hit = [0 if m is None else int(np.count_nonzero(m)) for m in masks]
-            over = [h > coverage_limit * n for h, n in zip(hit, batch.column("n_words").to_pylist(), strict=True)]
-            carried = {c: batch.column(c) for c in columns}
-            if clean and any(hit):
-                kind = batch.column(text).type
-                old = batch.column(text).cast(pa.binary()).to_pylist()
-                carried[text] = pa.array([t if m is None else _without(t, m, span_limit) for t, m in zip(old, masks, strict=True)], pa.binary()).cast(kind)
-            yield pa.RecordBatch.from_arrays([*carried.values(), batch.column("n_words"), pa.array(hit, pa.int64()), batch.column("items"), pa.array(over, pa.bool_())], names=[*columns, *added])
-
-    return out.mapInArrow(finish, final)
+    spark = spark_of(docs)
+    small_batches(spark)
+    columns = others(docs, *ADDED)
+    source = docs.select(*map(quoted, columns))
+    schema = T.StructType([*source.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("items", T.ArrayType(T.StringType())), T.StructField("over_limit", T.BooleanType())])
+
+    def finished(batch: pa.RecordBatch, counts: list[int], masks: list[np.ndarray | None], items: list[list[str]]) -> pa.RecordBatch:
+        hit = [0 if m is None else int(np.count_nonzero(m)) for m in masks]
+        over = [h > coverage_limit * n for h, n in zip(hit, counts, strict=True)]
+        carried = {c: batch.column(c) for c in columns}
+        if clean and any(hit):
+            kind = batch.column(text).type
+            old = batch.column(text).cast(pa.binary()).to_pylist()
+            carried[text] = pa.array([t if m is None else _without(t, m, span_limit) for t, m in zip(old, masks, strict=True)], pa.binary()).cast(kind)
+        return pa.RecordBatch.from_arrays([*carried.values(), pa.array(counts, pa.int64()), pa.array(hit, pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(over, pa.bool_())], names=[*columns, *ADDED])
+
+    blocks = _blocks(benchmark, item_id, item_text, block_words)
+    block = next(blocks)
+    following = next(blocks, None)
+    if following is None:
+        shared = spark.sparkContext.broadcast(Automaton(block, window))
+
+        def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in sized_chunks(batches, text, 2 << 20):
+                found = [shared.value.hits(t.as_py() or b"") for t in batch.column(text).cast(pa.binary())]
+                yield finished(batch, [n for n, _, _ in found], [m for _, m, _ in found], [sorted(i) for _, _, i in found])
+
+        return source.mapInArrow(single, schema)
+
+    hits = None
+    while block is not None:
+        own = _hits(source, text, block, window)
+        hits = own if hits is None else hits.union(own)
+        block, following = following, next(blocks, None) if following is not None else None
+    key, found = unused(source, "_key", "_found")
+    merged = hits.groupBy(F.col("key").alias(key)).agg(F.collect_list(F.struct("mask", "items")).alias(found))  # a row for each block at most
+    joined = source.withColumn(key, F.md5(quoted(text).cast("binary"))).join(merged, key, "left").drop(key)
+
+    def several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sized_chunks(batches, text, 2 << 20):
+            counts = [len(words(t.as_py() or b"")) for t in batch.column(text).cast(pa.binary())]
+            masks: list[np.ndarray | None] = []
+            items = []
+            for parts in batch.column(found).to_pylist():
+                masks.append(np.bitwise_or.reduce([np.frombuffer(x["mask"], np.uint8) for x in parts]) if parts else None)
+                items.append(sorted({i for x in parts or () for i in x["items"]}))
+            yield finished(batch, counts, masks, items)
+
+    return joined.mapInArrow(several, schema)

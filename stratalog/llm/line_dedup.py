@@ -1,9 +1,10 @@
 """Line deduplication on levelled sorted runs of line hashes.
 
-`LineRuns` keeps line keys as runs in the shared folder, each sorted by key hash and dealt by it.  A batch of documents
-is merge-anti-joined with the runs, which marks the keys that are new, and added as a run of its own; when a level
-holds `fanout` runs they are compacted into one run of the next level.  The runs merged say of each key in how many
-documents it stands and which is the largest doc_id that holds it.
+`LineRuns` keeps line keys (with the number of documents that hold them and the largest such doc_id) as levelled runs in
+the shared folder, bucketed and sorted by key hash.  Each batch of documents is merge-anti-joined with the runs: keys that
+none holds are added as a run of their own, so a key stands in one run only; keys that came again are set aside.  When a
+level holds `fanout` runs they are compacted into one run of the next level.  A key's documents are those of its run and
+those set aside; keys that came in one batch only, nearly all, are never summed up again.
 
 A line's key is the line stripped of white space at both ends and lower-cased (A-Z); keys are compared by 128-bit
 hashes.  Keys are combined inside each task before they are shuffled, so a line that every document holds is no burden.
@@ -15,6 +16,7 @@ largest holder.  Further columns pass through, except `n_lines` and `n_dropped`,
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stratalog.llm.common import cut, drop_folder, new_folder, sized_chunks, spark_of
+from stratalog.llm.common import cut, drop_folder, new_folder, others, quoted, sized_chunks, small_batches, spark_of, unused
 
 LEAST_CHARS, LEAST_DOCS = 40, 5
 _NO_ID = -(1 << 63)  # stands for a null doc_id, below all others
@@ -35,7 +37,7 @@ BROADCAST_KEYS = 1_000_000
 
 
 def _id(doc_id: str) -> Column:
-    return F.coalesce(F.col(doc_id).cast("long"), F.lit(_NO_ID)).alias("d")
+    return F.coalesce(quoted(doc_id).cast("long"), F.lit(_NO_ID)).alias("d")
 
 
 def _digests(text: bytes, least: int) -> list[bytes | None]:
@@ -55,10 +57,11 @@ def _halves(digests: list[bytes]) -> np.ndarray:
 
 def line_keys(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", least_chars: int = LEAST_CHARS, batches: int = 1) -> DataFrame:
     """Per key and batch (of documents, dealt by their id) the number of documents that hold it and the largest; partly combined."""
-    source = docs.select(_id(doc_id), F.col(text).cast("binary").alias("t"), F.pmod(F.xxhash64(doc_id), F.lit(batches)).cast("int").alias("b"))
+    small_batches(spark_of(docs))
+    source = docs.select(_id(doc_id), quoted(text).cast("binary").alias("t"), F.pmod(F.xxhash64(quoted(doc_id)), F.lit(batches)).cast("int").alias("b"))
 
     def each(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in sized_chunks(parts, "t", 4 << 20):
+        for part in sized_chunks(parts, "t", 2 << 20):
             held: dict[tuple[int, bytes], list[int]] = {}
             for d, t, b in zip(part.column("d").to_pylist(), part.column("t"), part.column("b").to_pylist(), strict=True):
                 for h in {*_digests(t.as_py() or b"", least_chars)} - {None}:
@@ -78,63 +81,90 @@ def _merged(keys: DataFrame) -> DataFrame:
 
 
 class LineRuns:
-    """Levels of sorted runs in a folder that all executors share."""
+    """Levels of sorted runs, bucketed tables by (h1, h2) in a folder that all executors share, so merges need no exchange.
 
-    def __init__(self, spark: SparkSession, *, fanout: int = 4):
+    No two runs hold the same key: a run has the keys of its batch that no earlier run holds.  The others go to `again`.
+    """
+
+    def __init__(self, spark: SparkSession, *, fanout: int = 3, buckets: int | None = None):
         self.spark, self.fanout = spark, fanout
-        self.folder = new_folder(spark, "line-runs")
+        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.folder, self.name = new_folder(spark, "line-runs"), f"line_run_{uuid.uuid4().hex}"
         self.levels: list[list[str]] = []
+        self.again: list[str] = []
         self.written = 0
 
-    def _write(self, keys: DataFrame, level: int) -> None:
-        path = f"{self.folder}/{level}-{self.written}"
-        self.written += 1
-        keys.repartition("h1", "h2").sortWithinPartitions("h1", "h2").write.parquet(path)
-        while len(self.levels) <= level:
-            self.levels.append([])
-        self.levels[level].append(path)
+    def _write(self, keys: DataFrame) -> str:
+        """keys as a bucketed table with sorted buckets; its name."""
+        name, self.written = f"{self.name}_{self.written}", self.written + 1
+        keys.write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").option("path", f"{self.folder}/{name}").saveAsTable(name)
+        return name
+
+    def _forget(self, name: str) -> None:
+        self.spark.sql(f"DROP TABLE {name}")
+        drop_folder(self.spark, f"{self.folder}/{name}")
 
-    def rows(self) -> DataFrame | None:
-        paths = [p for level in self.levels for p in level]
-        return self.spark.read.parquet(*paths) if paths else None
+    def _runs(self) -> list[DataFrame]:
+        return [self.spark.table(x) for level in self.levels for x in level]
+
+    def unseen(self, keys: DataFrame) -> DataFrame:
+        """Those keys that no run holds: merge-anti-joins with one run after the other."""
+        for run in self._runs():
+            keys = keys.join(run.select("h1", "h2"), ["h1", "h2"], "left_anti")
+        return keys
 
     def add(self, keys: DataFrame) -> None:
-        """Adds a batch of keys (h1, h2, n_docs, max_doc) as a run; `fresh` marks those that no run held before."""
-        batch, before = _merged(keys), self.rows()
-        if before is None:
-            marked = batch.withColumn("fresh", F.lit(True))
+        """Adds a batch of keys (h1, h2, n_docs, max_doc): those unseen as a run of its own, the rest to `again`."""
+        own = self._write(_merged(keys).repartition(self.buckets, "h1", "h2"))
+        if self.levels:
+            batch = self.spark.table(own)
+            fresh = self._write(self.unseen(batch))
+            self.again.append(self._write(batch.join(self.spark.table(fresh).select("h1", "h2"), ["h1", "h2"], "left_anti")))
+            self._forget(own)
+            own = fresh
         else:
-            known = before.where("fresh").select("h1", "h2", F.lit(True).alias("known"))
-            marked = batch.join(known, ["h1", "h2"], "left").select("h1", "h2", "n_docs", "max_doc", F.col("known").isNull().alias("fresh"))
-        self._write(marked, 0)
+            self.levels.append([])
+        self.levels[0].append(own)
         level = 0
         while level < len(self.levels) and len(self.levels[level]) >= self.fanout:
             self._compact(level)
             level += 1
 
     def _compact(self, level: int) -> None:
+        """The runs of a level, which share no key, as one run of the next."""
         old = self.levels[level]
-        runs = self.spark.read.parquet(*old)
-        one = runs.groupBy("h1", "h2").agg(F.sum("n_docs").alias("n_docs"), F.max("max_doc").alias("max_doc"), F.max("fresh").alias("fresh"))
-        self._write(one, level + 1)
+        one = self.spark.table(old[0])
+        for name in old[1:]:
+            one = one.union(self.spark.table(name))
+        if len(self.levels) == level + 1:
+            self.levels.append([])
+        self.levels[level + 1].append(self._write(one))
         self.levels[level] = []
-        for path in old:
-            drop_folder(self.spark, path)
-
-    def unseen(self, keys: DataFrame) -> DataFrame:
-        """Those keys that no run holds: the merge-anti-join alone."""
-        before = self.rows()
-        return keys if before is None else keys.join(before, ["h1", "h2"], "left_anti")
-
-    def totals(self) -> DataFrame | None:
-        before = self.rows()
-        return None if before is None else _merged(before)
+        for name in old:
+            self._forget(name)
+
+    def frequent(self, least_docs: int) -> DataFrame:
+        """Keys in at least so many documents and the largest of these.  Only keys that came again are summed up."""
+        again = None
+        for name in self.again:
+            rows = self.spark.table(name)
+            again = rows if again is None else again.union(rows)
+        found = None
+        for run in self._runs():
+            if again is not None:
+                more = _merged(again).withColumnsRenamed({"n_docs": "_n", "max_doc": "_max"})
+                run = run.join(more, ["h1", "h2"], "left").select("h1", "h2", (F.col("n_docs") + F.coalesce("_n", F.lit(0))).alias("n_docs"), F.greatest("max_doc", "_max").alias("max_doc"))
+            rows = run.where(F.col("n_docs") >= least_docs).select("h1", "h2", "max_doc")
+            found = rows if found is None else found.union(rows)
+        return cut(found)
 
     def drop(self) -> None:
+        for name in [*(x for level in self.levels for x in level), *self.again]:
+            self._forget(name)
         drop_folder(self.spark, self.folder)
 
 
-def frequent_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", least_chars: int = LEAST_CHARS, least_docs: int = LEAST_DOCS, batches: int = 4, fanout: int = 2) -> DataFrame:
+def frequent_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", least_chars: int = LEAST_CHARS, least_docs: int = LEAST_DOCS, batches: int = 4, fanout: int = 3) -> DataFrame:
     """Hashes (h1, h2) of the keys that at least `least_docs` documents hold, and the largest such document (max_doc)."""
     spark = spark_of(docs)
     folder = new_folder(spark, "line-keys")
@@ -143,7 +173,7 @@ def frequent_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     runs = LineRuns(spark, fanout=fanout)
     for b in range(batches):
         runs.add(keys.where(F.col("batch") == b).drop("batch"))
-    found = cut(runs.totals().where(F.col("n_docs") >= least_docs).select("h1", "h2", "max_doc"))
+    found = runs.frequent(least_docs)
     runs.drop()
     drop_folder(spark, folder)
     return found
@@ -156,8 +186,8 @@ def _join_lines(lines: list[bytes], keep: list[bool]) -> bytes:
 def dedup_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", least_chars: int = LEAST_CHARS, least_docs: int = LEAST_DOCS, batches: int = 4, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
     """docs without the lines that other documents hold too, with n_lines (before) and n_dropped."""
     spark = spark_of(docs)
-    source = docs.select(*[c for c in docs.columns if c not in ("n_lines", "n_dropped")])
-    columns = source.columns
+    columns = others(docs, "n_lines", "n_dropped")
+    source = docs.select(*map(quoted, columns))
     found = frequent_lines(docs, doc_id=doc_id, text=text, least_chars=least_chars, least_docs=least_docs, batches=batches)
     schema = T.StructType([*source.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
 
@@ -176,7 +206,7 @@ def dedup_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
 
         def each(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             h1, h2, most = shared.value
-            for part in sized_chunks(parts, text, 4 << 20):
+            for part in sized_chunks(parts, text, 2 << 20):
                 texts = [t or b"" for t in part.column(text).cast(pa.binary()).to_pylist()]
                 ids = [_NO_ID if d is None else d for d in part.column(doc_id).to_pylist()]
                 drops: list[set[int]] = [set() for _ in texts]
@@ -204,7 +234,7 @@ def dedup_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
 
     # Too many keys to broadcast: line places are joined with the keys, and the places to drop with their documents.
     def places(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in sized_chunks(parts, "t", 4 << 20):
+        for part in sized_chunks(parts, "t", 2 << 20):
             where, digests = [], []
             for d, r, t in zip(part.column("d").to_pylist(), part.column("r").to_pylist(), part.column("t").to_pylist(), strict=True):
                 for k, h in enumerate(_digests(t or b"", least_chars)):
@@ -216,15 +246,15 @@ def dedup_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
                 d, r, k = zip(*where, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy()), pa.array(d, pa.int64()), pa.array(r, pa.int64()), pa.array(k, pa.int64())], names=["h1", "h2", "d", "r", "k"])
 
-    key = [_id(doc_id), F.xxhash64(text).alias("r")]
-    lines = docs.select(*key, F.col(text).cast("binary").alias("t")).mapInArrow(places, "h1 long, h2 long, d long, r long, k long")
-    dropped = lines.join(found, ["h1", "h2"]).where(F.col("d") != F.col("max_doc")).groupBy("d", "r").agg(F.collect_set("k").alias("_drop"))
-    keyed = source.withColumns({"_d": key[0], "_r": key[1]})
-    joined = keyed.join(dropped, (keyed["_d"] == dropped["d"]) & (keyed["_r"] == dropped["r"]), "left").select(*columns, "_drop")
+    key = [_id(doc_id), F.xxhash64(quoted(text)).alias("r")]
+    lines = docs.select(*key, quoted(text).cast("binary").alias("t")).mapInArrow(places, "h1 long, h2 long, d long, r long, k long")
+    drop, d, r = unused(source, "_drop", "_d", "_r")
+    dropped = lines.join(found, ["h1", "h2"]).where(F.col("d") != F.col("max_doc")).groupBy(F.col("d").alias(d), F.col("r").alias(r)).agg(F.collect_set("k").alias(drop))
+    joined = source.withColumns({d: key[0], r: key[1]}).join(dropped, [d, r], "left").select(*map(quoted, columns), drop)
 
     def remove(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in sized_chunks(parts, text, 4 << 20):
-            drops = [set(x or ()) for x in part.column("_drop").to_pylist()]
+        for part in sized_chunks(parts, text, 2 << 20):
+            drops = [set(x or ()) for x in part.column(drop).to_pylist()]
             yield rebuilt(part, drops, [(t or b"").split(b"\n") for t in part.column(text).cast(pa.binary()).to_pylist()])
 
     return joined.mapInArrow(remove, schema)

@@ -1,19 +1,25 @@
 """Mixing sources to target weights.
 
 Each source's words are packed, document after document, into blocks of `block_words` words.  A source's target is its
-weight's share of all words, stopped at `most_repeats` times its size, the excess going to the others by weight.  It
-makes a number of slots, each of which falls into an output shard by a seeded draw, so a shard's counts of slots by
-source are a multinomial draw given the totals, and every source meets its target to within a block.  Slot k of a
-source reads, in the pass k div n over its n blocks, the block to which that pass's pseudorandom index permutation (a
-swap-or-not network keyed by seed, source and pass) maps k mod n.  Slots and blocks are joined by (source, index).
-
-All of it is DataFrame expressions.  Places in a source are prefix sums in two steps: over bins of documents by a hash
-of their id, then within a bin; so a source that holds most rows is spread over many tasks.  Nothing depends on the
-number of tasks or on row order: reruns agree.
+weight's share of all words, stopped at `most_repeats` times its size, the excess going to the others by weight; in
+blocks, that is its number of slots.
+
+1. The mix has as many slots as all sources together, dealt into output shards of `shard_slots`.  Every slot of a shard
+   draws its source by a seeded hash, with chances as the sources' slots: a shard's counts by source are a multinomial
+   draw.
+2. The slots that a source drew are numbered through the shards.  Those beyond its own number of slots go, in order, to
+   the sources that drew too few; so every source meets its target to within a block and none is read too often.
+3. Slot k of a source reads, in the pass k div n over its n blocks, the block to which that pass's pseudorandom index
+   permutation (a swap-or-not network keyed by seed, source and pass) maps k mod n.  Slots and blocks are joined by
+   (source, index): that is the mix, and what it takes of each document is summed from it.
+
+All of it is DataFrame expressions.  Places are running sums in two steps, within ranges of the order and over the
+ranges, so a source that holds most rows is spread over many tasks.  Nothing depends on the number of tasks or on row
+order: reruns agree.
 
 Defined results: a null text has size 0 and takes 0; a null source is a source of its own, last in order; rows that
 repeat a doc_id are documents of their own, alike ones of which share a place by count; an empty table gives an empty
-result.  Documents of size 0 and sources of size 0 take 0.  The result has only the columns named below.
+result.  Documents of size 0 and sources of size 0 take 0.  The results have only the columns named below.
 """
 
 from __future__ import annotations
@@ -21,11 +27,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stratalog.llm.common import SPACE_CHARS, SPACE_CLASS, cut
+from stratalog.llm.common import SPACE_CHARS, SPACE_CLASS, cut, quoted, spark_of
 
 BLOCK_WORDS = 64
+SHARD_SLOTS = 1 << 14
 WEIGHTS = (1, 2, 3)
-ROUNDS = 16
+ROUNDS = 12
+#: Slots that one row of an interval table spans at most, and that one task makes.
+_CHUNK, _TASK_SLOTS = 1 << 12, 1 << 17
 
 
 def word_count(text: Column) -> Column:
@@ -33,102 +42,123 @@ def word_count(text: Column) -> Column:
     return F.when(F.coalesce(bare, F.lit("")) == "", F.lit(0)).otherwise(F.size(F.split(bare, f"[{SPACE_CLASS}]+"))).cast("long")
 
 
-def permuted(x: Column, n: Column, seed: int, *key: Column) -> Column:
-    """The image of x in a pseudorandom permutation of 0..n-1 chosen by seed and key: rounds that swap x with k - x, or not."""
+def permuted(rows: DataFrame, x: str, n: str, key: str, seed: int) -> DataFrame:
+    """rows with `x` replaced by its image in a pseudorandom permutation of 0..n-1 chosen by seed and key: rounds that swap x with k - x, or not."""
+    for r in range(ROUNDS):
+        rows = rows.withColumn("_other", F.pmod(F.xxhash64(F.lit(seed), F.lit(r), key), n) - F.col(x))
+        rows = rows.withColumn("_other", F.when(F.col("_other") < 0, F.col("_other") + F.col(n)).otherwise(F.col("_other")))
+        swap = F.xxhash64(F.lit(seed + 1), F.lit(r), F.greatest(x, "_other"), key).bitwiseAND(F.lit(1)) == 1
+        rows = rows.withColumn(x, F.when(swap, F.col("_other")).otherwise(F.col(x)))
+    return rows.drop("_other")
 
-    def step(at: Column, r: Column) -> Column:
-        other = F.pmod(F.xxhash64(F.lit(seed), r, *key), n) - at
-        other = F.when(other < 0, other + n).otherwise(other)
-        swap = F.xxhash64(F.lit(seed + 1), r, F.greatest(at, other), *key).bitwiseAND(F.lit(1)) == 1
-        return F.when(swap, other).otherwise(at)
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), x, step)
+def running_sum(rows: DataFrame, order: list[Column], value: str, name: str) -> DataFrame:
+    """rows with the sum of `value` over all rows before, in two steps: within ranges of the order, and over the ranges."""
+    ranged = cut(rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    upto = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    firsts = ranged.groupBy("_range").agg(F.sum(value).alias("_sum")).select("_range", F.coalesce(F.sum("_sum").over(upto), F.lit(0)).alias("_first"))
+    within = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    summed = ranged.withColumn("_within", F.coalesce(F.sum(value).over(within), F.lit(0)))
+    return summed.join(F.broadcast(firsts), "_range").withColumn(name, (F.col("_first") + F.col("_within")).cast("long")).drop("_range", "_first", "_within")
 
 
-def targets(sizes: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, most_repeats: int = 3) -> DataFrame:
-    """sizes (source, source_size) with its target.  One row a source; sources are few beside documents."""
-    everything = Window.partitionBy()
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    turn = F.element_at(F.array(*map(F.lit, weights)), (F.pmod(F.row_number().over(order) - 1, F.lit(len(weights))) + 1).cast("int"))
-    ranked = (
-        sizes.withColumn("weight", turn.cast("double"))
-        .withColumn("most", (most_repeats * F.col("source_size")).cast("double"))
-        .withColumn("total", F.sum("source_size").over(everything).cast("double"))
-        .withColumn("full_at", F.col("most") / F.col("weight"))
-    )
-    # Sources fill up in the order of full_at: the level is the first at which those not yet full take what is left.
-    by_level = Window.orderBy("full_at", "weight", F.col("source").asc_nulls_last())
-    before = by_level.rowsBetween(Window.unboundedPreceding, -1)
-    after = by_level.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    level = (F.col("total") - F.coalesce(F.sum("most").over(before), F.lit(0.0))) / F.sum("weight").over(after)
-    leveled = ranked.withColumn("level", level)
-    first = F.min(F.when(F.col("level") <= F.col("full_at"), F.struct("full_at", "weight", "level"))).over(everything)
-    stop = first["level"]
-    return leveled.withColumn("stop", stop).select("source", "source_size", F.when(F.col("stop").isNull() | (F.col("full_at") < F.col("stop")), F.col("most")).otherwise(F.col("weight") * F.col("stop")).alias("target"))
-
-
-def placed(docs: DataFrame, *, docs_a_bin: int = 2000) -> DataFrame:
-    """docs (doc_id, source, size, copies) with `start`, the place of the first word in the source."""
-    bins = F.pmod(F.xxhash64("doc_id"), F.lit(max(1, docs.count() // docs_a_bin)))
-    binned = docs.withColumn("_bin", bins)
-    sums = binned.groupBy("source", "_bin").agg(F.sum(F.col("size") * F.col("copies")).alias("_sum"))
-    upto = Window.partitionBy("source").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
-    firsts = sums.select(F.col("source").alias("_s"), F.col("_bin").alias("_b"), F.coalesce(F.sum("_sum").over(upto), F.lit(0)).alias("_first"))
-    joined = binned.join(firsts, binned["source"].eqNullSafe(firsts["_s"]) & (binned["_bin"] == firsts["_b"]))
-    within = Window.partitionBy("source", "_bin").orderBy("doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    return joined.withColumn("start", F.col("_first") + F.coalesce(F.sum(F.col("size") * F.col("copies")).over(within), F.lit(0))).select("doc_id", "source", "size", "copies", "start")
-
-
-def slots(sources: DataFrame, *, block_words: int = BLOCK_WORDS, shard_slots: int = 4096, seed: int = 17, most_repeats: int = 3) -> DataFrame:
-    """One row a slot: source, slot, shard, block.  sources: source, source_size, target."""
-    blocks = F.ceil(F.col("source_size") / block_words).cast("long")
-    mean = F.col("source_size") / blocks  # words in a block; the last block may be short
-    wanted = F.least(F.round(F.col("target") / mean).cast("long"), most_repeats * blocks)
-    ready = sources.withColumn("n_blocks", blocks).withColumn("n_slots", F.when(blocks > 0, wanted).otherwise(F.lit(0).cast("long")))
-    shards = F.ceil(F.sum("n_slots").over(Window.partitionBy()) / shard_slots).cast("long")
-    step = 4096
-    cuts = ready.withColumn("n_shards", shards).where("n_slots > 0").withColumn("cut", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_slots") - 1, F.lit(step).cast("long"))))
-    spread = cuts.repartition("source", "cut")
-    each = spread.withColumn("slot", F.explode(F.sequence(F.col("cut"), F.least(F.col("cut") + step, F.col("n_slots")) - 1)))
-    turn = (F.col("slot") / F.col("n_blocks")).cast("long")
-    key = F.coalesce(F.col("source"), F.lit("\x00null"))
-    return each.withColumn("_turn", turn).select(
-        "source",
-        "slot",
-        F.pmod(F.xxhash64(F.lit(seed + 2), key, "slot"), F.col("n_shards")).alias("shard"),
-        permuted(F.pmod("slot", "n_blocks"), F.col("n_blocks"), seed, key, F.col("_turn")).alias("block"),
-    )
+def _by(source: str = "source") -> Column:
+    return F.col(source).asc_nulls_last()
 
 
-def mix(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, most_repeats: int = 3, block_words: int = BLOCK_WORDS, seed: int = 17) -> tuple[DataFrame, DataFrame]:
+def targets(sizes: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, most_repeats: int = 3) -> DataFrame:
+    """sizes (source, source_size), a row for each source, with its target."""
+    turn = F.element_at(F.array(*map(F.lit, weights)), (F.pmod("_rank", F.lit(len(weights))) + 1).cast("int"))
+    ranked = cut(
+        running_sum(sizes.withColumn("_one", F.lit(1)), [_by()], "_one", "_rank")
+        .withColumn("_weight", turn.cast("double"))
+        .withColumn("_most", (most_repeats * F.col("source_size")).cast("double"))
+        .drop("_rank", "_one")
+    )
+    # The level is what a weight of one gets: sources that it would fill beyond their most leave the rest to the others.
+    level, before = 0.0, -1.0
+    while level > before:
+        full = F.col("_most") < F.col("_weight") * F.lit(level)
+        left = F.sum("source_size").cast("double") - F.coalesce(F.sum(F.when(full, F.col("_most"))), F.lit(0.0))
+        left, weight = ranked.agg(left, F.sum(F.when(~full, F.col("_weight")))).first()
+        before, level = level, (left / weight if left and weight else level)
+    return ranked.select("source", "source_size", F.least("_most", F.col("_weight") * F.lit(level)).alias("target"))
+
+
+def _spans(rows: DataFrame, first: str, size: str) -> DataFrame:
+    """rows, each once for every chunk of places that first .. first + size - 1 touches."""
+    place = lambda c: F.floor(c / F.lit(_CHUNK)).cast("long")
+    return rows.where(F.col(size) > 0).withColumn("_chunk", F.explode(F.sequence(place(F.col(first)), place(F.col(first) + F.col(size) - 1))))
+
+
+def _inside(places: DataFrame, x: str, spans: DataFrame, first: str, size: str) -> DataFrame:
+    """places joined with the span that holds x."""
+    keyed = places.withColumn("_chunk", F.floor(F.col(x) / F.lit(_CHUNK)).cast("long"))
+    return keyed.join(spans, "_chunk").where((F.col(x) >= F.col(first)) & (F.col(x) < F.col(first) + F.col(size))).drop("_chunk")
+
+
+def draw_counts(sources: DataFrame, total: int, *, shard_slots: int = SHARD_SLOTS, seed: int = 17) -> DataFrame:
+    """shard, no, drawn: how many slots of each output shard drew each source.  sources: no, n_slots, first_slot; total: all n_slots."""
+    draws = spark_of(sources).range(0, total, 1, -(-total // _TASK_SLOTS) or 1).select((F.col("id") / shard_slots).cast("long").alias("shard"), F.pmod(F.xxhash64(F.lit(seed + 2), "id"), F.lit(total or 1)).alias("x"))
+    return _inside(draws, "x", _spans(sources.select("no", "n_slots", "first_slot"), "first_slot", "n_slots"), "first_slot", "n_slots").groupBy("shard", "no").agg(F.count("*").alias("drawn"))
+
+
+def slots(sources: DataFrame, *, shard_slots: int = SHARD_SLOTS, seed: int = 17) -> DataFrame:
+    """One row a slot: no (the source's), slot, shard, block.  sources: no, n_blocks, n_slots, first_slot."""
+    total = sources.agg(F.coalesce(F.sum("n_slots"), F.lit(0))).first()[0]
+    counts = draw_counts(sources, total, shard_slots=shard_slots, seed=seed)
+    numbered = running_sum(counts, [F.col("no"), F.col("shard")], "drawn", "_at")
+    begins = numbered.groupBy("no").agg(F.min("_at").alias("_begin"), F.sum("drawn").alias("_all"))
+    known = sources.select("no", "n_slots", "n_blocks").join(begins, "no", "left").withColumn("_all", F.coalesce("_all", F.lit(0)))
+    owned = cut(numbered.join(known, "no").withColumn("slot", F.col("_at") - F.col("_begin")))
+    own = owned.select("no", "n_blocks", "shard", "slot", F.least(F.col("drawn"), F.greatest(F.col("n_slots") - F.col("slot"), F.lit(0))).alias("_n"))
+    # What a source drew beyond its slots, one by one in order, meets what others lack.
+    beyond = owned.withColumn("_over", F.col("drawn") - F.greatest(F.least(F.col("drawn"), F.col("n_slots") - F.col("slot")), F.lit(0))).where("_over > 0").select("no", "shard", "_over")
+    passed = running_sum(beyond, [F.col("no"), F.col("shard")], "_over", "_e").withColumn("_e", F.explode(F.sequence(F.col("_e"), F.col("_e") + F.col("_over") - 1))).select("shard", "_e")
+    lacking = running_sum(known.withColumn("_lack", F.col("n_slots") - F.col("_all")).where("_lack > 0").select("no", "n_blocks", "_all", "_lack"), [F.col("no")], "_lack", "_l")
+    taken = _inside(passed, "_e", _spans(lacking, "_l", "_lack"), "_l", "_lack").select("no", "n_blocks", "shard", (F.col("_all") + F.col("_e") - F.col("_l")).alias("slot"), F.lit(1).cast("long").alias("_n"))
+    runs = own.where("_n > 0").union(taken).repartition(-(-total // _TASK_SLOTS) or 1)
+    each = runs.withColumn("slot", F.explode(F.sequence(F.col("slot"), F.col("slot") + F.col("_n") - 1)))
+    turned = each.withColumn("_key", F.xxhash64("no", (F.col("slot") / F.col("n_blocks")).cast("long"))).withColumn("block", F.pmod("slot", "n_blocks"))
+    # Cut, or filters on `block` that later joins imply would be pushed below the rounds, each of which copies them.
+    return cut(permuted(turned, "block", "n_blocks", "_key", seed).select("no", "slot", "shard", "block"))
+
+
+def mix(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, most_repeats: int = 3, block_words: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS, seed: int = 17) -> tuple[DataFrame, DataFrame]:
     """Two results.  First: doc_id, size, source_size, target, taken, a row for each of docs.  Second, the mix itself:
     source, shard, slot, block, doc_id, first_word and n_words, the words of each document that the slot reads."""
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"))
-    counted = cut(rows.groupBy("doc_id", "source", "size").agg(F.count("*").alias("copies")))
-    sizes = counted.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("source_size"))
-    sources = cut(targets(sizes, weights=weights, most_repeats=most_repeats))
-    places = cut(placed(counted))
-    chosen = slots(sources, block_words=block_words, seed=seed, most_repeats=most_repeats)
+    rows = docs.select(quoted(doc_id).alias("doc_id"), quoted(source).alias("source"), word_count(quoted(text)).alias("size"))
+    counted = rows.groupBy("doc_id", "source", "size").agg(F.count("*").alias("copies")).withColumn("words", F.col("size") * F.col("copies"))
+    # Documents in order of source, then of a hash of their id: the source's words end to end.
+    placed = cut(running_sum(counted.withColumn("_h", F.xxhash64("doc_id")), [_by(), F.col("_h"), F.col("doc_id"), F.col("size")], "words", "at"))
+    sizes = placed.groupBy("source").agg(F.sum("words").alias("source_size"), F.min("at").alias("first_word"))
+    aimed = targets(sizes, weights=weights, most_repeats=most_repeats)
+    blocks = F.ceil(F.col("source_size") / block_words).cast("long")
+    mean = F.col("source_size") / F.col("n_blocks")  # words in a block; the last block may be short
+    wanted = F.when(F.col("n_blocks") > 0, F.least(F.round(F.col("target") / mean).cast("long"), most_repeats * F.col("n_blocks"))).otherwise(F.lit(0).cast("long"))
+    ready = aimed.withColumn("n_blocks", blocks).withColumn("n_slots", wanted).withColumn("no", F.xxhash64(F.lit(seed), "source"))
+    sources = cut(running_sum(ready, [_by()], "n_slots", "first_slot"))
+    chosen = slots(sources, shard_slots=shard_slots, seed=seed)
+
+    few = sources.select("no", F.col("source").alias("_s"), "source_size", "target")
+    begins = sizes.select(F.col("source").alias("_s"), "first_word")
+    named = few.join(begins, few["_s"].eqNullSafe(begins["_s"])).select(few["_s"], "no", "source_size", "target", "first_word")
+    held = placed.join(named, placed["source"].eqNullSafe(named["_s"])).drop("_s")
     # Words of each document by the block that holds them; copies follow one another and share the document's row.
-    end = F.col("start") + F.col("size") * F.col("copies")
-    span = places.where("size > 0").withColumn("end", end)
+    start = F.col("at") - F.col("first_word")
+    spans = held.where("size > 0").select("source", "no", "doc_id", "size", "at", start.alias("start"), (start + F.col("words")).alias("end"))
     pieces = (
-        span.withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / block_words), F.floor((F.col("end") - 1) / block_words))))
-        .withColumn("first", F.greatest("start", F.col("block") * block_words))
-        .withColumn("n_words", F.least("end", (F.col("block") + 1) * block_words) - F.col("first"))
-        .withColumn("first_word", F.pmod(F.col("first") - F.col("start"), "size"))
+        spans.withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / block_words), F.floor((F.col("end") - 1) / block_words))))
+        .withColumn("_first", F.greatest("start", F.col("block") * block_words))
+        .withColumn("n_words", F.least("end", (F.col("block") + 1) * block_words) - F.col("_first"))
+        .withColumn("first_word", F.pmod(F.col("_first") - F.col("start"), "size"))
+        .select("source", "no", "block", "doc_id", "at", "first_word", "n_words")
     )
-    salted = F.coalesce(F.col("source"), F.lit("\x00null"))
-    read = pieces.withColumn("_k", salted).drop("source").join(chosen.withColumn("_k", salted), ["_k", "block"])
-    mixed = read.select("source", "shard", "slot", "block", "doc_id", "first_word", "n_words")
-    # How often each block is read, and from that the words taken of each document.
-    times = chosen.groupBy(salted.alias("_k"), "block").agg(F.count("*").alias("times"))
-    taken = pieces.withColumn("_k", salted).join(times, ["_k", "block"]).groupBy("doc_id", "_k", "size").agg(F.sum(F.col("n_words") * F.col("times")).alias("taken"))
-    places_keyed = places.withColumn("_k", salted).join(taken, ["doc_id", "_k", "size"], "left")
-    spread = F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))
+    mixed = chosen.join(pieces, ["no", "block"])
+    taken = mixed.groupBy("at").agg(F.sum("n_words").alias("_taken"))
+    keyed = held.withColumn("_at", F.when(F.col("size") > 0, F.col("at"))).join(taken.withColumnRenamed("at", "_at"), "_at", "left")
     # Copies of a row share what was taken as evenly as whole words allow.
-    whole = F.coalesce(F.col("taken"), F.lit(0))
+    whole = F.coalesce("_taken", F.lit(0))
     shared = F.floor(whole / F.col("copies")) + F.when(F.col("_copy") <= F.pmod(whole, F.col("copies")), 1).otherwise(0)
-    few = sources.withColumn("_k", salted).select("_k", "source_size", "target")
-    digest = places_keyed.withColumn("_copy", spread).join(few, "_k").select("doc_id", "size", "source_size", "target", shared.cast("long").alias("taken"))
-    return digest, mixed
+    digest = keyed.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("doc_id", "size", "source_size", "target", shared.cast("long").alias("taken"))
+    return digest, mixed.select("source", "shard", "slot", "block", "doc_id", "first_word", "n_words")

@@ -6,8 +6,8 @@ Repeated 5-word windows are found by 64-bit hashes within one text.  A text of n
 probability of about n*n / 2**65.
 
 Defined results: a null or empty text has no words, all counts 0, base_failed true and kept false.  Ratios of a text
-without words are 0.  Repeated rows are judged alike.  Further columns pass through `judge_quality` unless they bear a
-name it adds, which it replaces.
+without words are 0.  Repeated rows are judged alike.  Further columns pass through `judge_quality`, whatever
+their names, unless they bear one it adds, which it replaces.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stratalog.llm.common import SPACE_CHARS, SPACE_CLASS
+from stratalog.llm.common import SPACE_CHARS, SPACE_CLASS, others, quoted, unused
 
 WINDOW = 5
 
@@ -55,25 +55,27 @@ def _only(text: Column, keep: str) -> Column:
     return F.length(F.regexp_replace(text, f"[^{keep}]+", ""))
 
 
-def measured(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with the counts of the contract and the further counts that the measures need (named _...)."""
-    t = F.col("_text")
+def measured(docs: DataFrame, text: str = "text") -> tuple[DataFrame, str]:
+    """docs with one more column, of that name: the counts of the contract and those that the measures need."""
+    named = unused(docs, "_text", "_w", "_lines", "_win", "_repeats", "_at", "_places", "_counts")
+    text_, w_, lines_, win_, repeats_, at_, places_, counts_ = named
+    t = F.col(text_)
     lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(f"[^{SPACE_CLASS}]"))
-    w = F.col("_w")
+    w = F.col(w_)
     n = F.size(w)
     windows = F.when(
         n >= WINDOW,
         F.transform(F.sequence(F.lit(0), n - WINDOW), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(WINDOW)])),
     ).otherwise(F.array().cast("array<bigint>"))
     first = (
-        docs.withColumn("_text", F.coalesce(F.col(text), F.lit("")))
-        .withColumn("_w", _words(t))
-        .withColumn("_lines", lines)
-        .withColumn("_win", windows)
-        .withColumn("_repeats", F.size("_win") > F.size(F.array_distinct("_win")))
-        .withColumn("_at", F.when(F.col("_repeats"), F.array_sort(F.transform("_win", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
+        docs.withColumn(text_, F.coalesce(quoted(text), F.lit("")))
+        .withColumn(w_, _words(t))
+        .withColumn(lines_, lines)
+        .withColumn(win_, windows)
+        .withColumn(repeats_, F.size(win_) > F.size(F.array_distinct(win_)))
+        .withColumn(at_, F.when(F.col(repeats_), F.array_sort(F.transform(win_, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
     )
-    at, m = F.col("_at"), F.size("_at")
+    at, m = F.col(at_), F.size(at_)
     # Of equal windows, which now stand side by side, all places; then the words that these windows cover.
     same = lambda a, b: F.get(at, a)["h"] == F.get(at, b)["h"]
     places = F.sort_array(
@@ -82,9 +84,9 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
             lambda k: F.get(at, k)["i"],
         )
     )
-    second = first.withColumn("_places", F.when(F.col("_repeats"), places))
+    second = first.withColumn(places_, F.when(F.col(repeats_), places))
     covered = F.aggregate(
-        "_places",
+        places_,
         F.struct(F.lit(0).alias("sum"), F.lit(-WINDOW).alias("last")),
         lambda s, p: F.struct((s["sum"] + F.least(F.lit(WINDOW), p - s["last"])).alias("sum"), p.alias("last")),
         lambda s: s["sum"],
@@ -93,22 +95,22 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
         n.cast("long").alias("n_words"),
         F.length(F.regexp_replace(t, f"[{SPACE_CLASS}]+", "")).cast("long").alias("word_chars"),
         _only(t, "#*$%&|<>").cast("long").alias("n_symbols"),
-        (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
+        (F.size(lines_) - F.size(F.array_distinct(lines_))).cast("long").alias("n_dup_lines"),
         F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"),
-        F.size("_lines").alias("_n_lines"),
+        F.size(lines_).alias("_n_lines"),
         F.size(F.filter(w, lambda x: F.lower(x).isin(*dict.fromkeys(STOP_WORDS)))).alias("_n_stop"),
         _only(t, "!?").alias("_n_emphasis"),
         _only(t, r"\p{L}").alias("_n_letters"),
         _only(t, r"\p{Lu}").alias("_n_capitals"),
     )
-    # Through inline, so that a later filter on the counts is not pushed below them, which would copy these expressions many times.
-    return second.select(*[c for c in docs.columns if c not in _NAMES], F.inline(F.array(counts)))
+    # Through explode, so that a later filter on the counts is not pushed below them, which would copy these expressions many times.
+    return second.select(*map(quoted, others(docs, *_NAMES)), F.explode(F.array(counts)).alias(counts_)), counts_
 
 
-def measures() -> dict[str, Column]:
-    per = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(F.lit(0.0))
+def measures(counts: Column) -> dict[str, Column]:
+    per = lambda a, b: F.when(counts[b] > 0, counts[a] / counts[b]).otherwise(F.lit(0.0))
     return {
-        "n_words": F.col("n_words"),
+        "n_words": counts["n_words"],
         "mean_word_chars": per("word_chars", "n_words"),
         "symbol_ratio": per("n_symbols", "n_words"),
         "emphasis_ratio": per("_n_emphasis", "n_words"),
@@ -119,9 +121,9 @@ def measures() -> dict[str, Column]:
     }
 
 
-def compiled(thresholds=THRESHOLDS) -> Column:
+def compiled(counts: Column, thresholds=THRESHOLDS) -> Column:
     """The threshold table as one condition."""
-    known, holds = measures(), F.lit(True)
+    known, holds = measures(counts), F.lit(True)
     for name, least, most in thresholds:
         if least is not None:
             holds = holds & (known[name] >= least)
@@ -132,6 +134,8 @@ def compiled(thresholds=THRESHOLDS) -> Column:
 
 def judge_quality(docs: DataFrame, *, text: str = "text", thresholds=THRESHOLDS) -> DataFrame:
     """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed and kept."""
-    failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    counted = measured(docs, text).withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & compiled(thresholds))
-    return counted.drop(*[c for c in counted.columns if c.startswith("_") and c not in docs.columns])
+    counted, name = measured(docs, text)
+    counts = F.col(name)
+    failed = (counts["n_words"] < 10) | (100 * counts["n_repeat_words"] > 20 * counts["n_words"])
+    told = [counts[c].alias(c) for c in _NAMES[:5]]
+    return counted.select(*map(quoted, others(docs, *_NAMES)), *told, failed.alias("base_failed"), (~failed & compiled(counts, thresholds)).alias("kept"))
