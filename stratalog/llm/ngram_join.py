@@ -12,10 +12,14 @@ the threshold.
 - The boundary is where the summed cost (rows enumerated, against prefix rows times the mean length of their lists) is
   least, by the histogram of set sizes.
 
-Lists are not turned into all pairs.  First each member is checked against its list's leader, and the links found are
-joined into components; then the same with other leaders, among members not yet connected; in the end only pairs that
-are still in different components are checked.  So a group of thousands of near copies takes a few checks a member,
-and no link between different components is missed.
+List entries are shuffled packed: a task sorts its entries, and each shard of them is a row with compressed arrays.  The
+shard's task keeps the entries whose key different classes hold, an eighth or so.  Keys that the counters show to be in
+very many sets are spread over shards of their own and kept unseen, so no list meets in one task.
+
+Lists are not turned into all pairs.  First each member is checked against its list's leader, and what the links found
+connect gets one label; then the same with other leaders, among members of different labels; in the end only pairs of
+different labels are checked.  So a group of thousands of near copies takes a few checks a member, and no link between
+different components is missed.
 
 Each hash stands for its shingle: sets err with a probability of about (shingles compared)**2 / 2**65.
 
@@ -32,25 +36,30 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stratalog.llm.common import CHUNK_BYTES, cut, mix, sized_chunks, spark_of, words_of
+from stratalog.llm.common import CHUNK_BYTES, cut, mix, quoted, sized_chunks, small_batches, spark_of, unused, words_of
 from stratalog.llm.graph import components
+from stratalog.llm.packing import expand, falls, rises, squeeze
 
 SHINGLE = 5
 #: Jaccard similarity in percent.
 PERCENT = 75
 #: Shingle counters, and how many of them one row holds.
-WIDTH, PART = 1 << 23, 1 << 17
-_COUNTER = np.uint64(64 - 23)
+WIDTH, PART = 1 << 22, 1 << 17
+_COUNTER = np.uint64(64 - 22)
 #: 64-bit words of a set's parity sketch.
-SKETCH_WORDS = 16
+SKETCH_WORDS = 8
 LARGEST_BOUNDARY = 12
 #: Documents whose ids may be broadcast to pick their texts; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 #: Rounds of checks against leaders, as long as they find links.
-STAR_ROUNDS = 3
+STAR_ROUNDS = 2
+#: Entries that a task packs together, and entries of a shard.
+PIECE, SHARD = 1 << 20, 1 << 20
+#: A key is spread if its counter has more than this and 8 times the mean.
+COMMON = 20_000
 
 _FACTORS = mix(np.arange(101, 101 + 2 * SHINGLE, dtype=np.uint64))
 
@@ -183,52 +192,124 @@ def _counters(scanned: DataFrame) -> tuple[np.ndarray, float, float]:
         yield pa.RecordBatch.from_arrays([*map(pa.array, values), pa.array([np.minimum(sums, 65535).astype("<u2").tobytes()], pa.binary())], names=["cls", "one", "two", "counts"])
 
     out, one, two = np.zeros(WIDTH, np.uint16), 0.0, 0.0
-    for row in scanned.where("kind = 1").select("cls", "counts").groupBy("cls").applyInArrow(total, "cls long, one double, two double, counts binary").toLocalIterator():
+    for row in scanned.where("kind = 1").select("cls", "counts").groupBy("cls").applyInArrow(total, "cls long, one double, two double, counts binary").collect():
         out[row.cls * PART : (row.cls + 1) * PART] = np.frombuffer(row.counts, "<u2")
         one, two = one + row.one, two + row.two
     return out, one, two
 
 
-def _list_rows(docs: DataFrame, counters: np.ndarray, boundary: int) -> DataFrame:
-    """Rows of the lists: key h, class, set size n and place pos in the set's order, or minus the size of a subset."""
+_PACKED = "shard int, h binary, cls binary, n binary, pos binary"
+
+
+def _entries(h: np.ndarray, rows: np.ndarray, sizes: np.ndarray, counts: np.ndarray, boundary: int) -> tuple[np.ndarray, ...]:
+    """Key, row, place (or minus the size of a subset) and the key's counter of all list entries; rows: of each h, sorted."""
+    reach = -(-PERCENT * (boundary + 1) // 100)
+    starts = np.cumsum(sizes) - sizes
+    out = []
+    for s in range(1, boundary + 1):
+        mine = np.flatnonzero(sizes == s)
+        if len(mine):
+            own = mix(h[starts[mine][:, None] + np.arange(s)])
+            for c in subset_sizes(s, boundary):
+                pick = np.array(list(combinations(range(s), c)))
+                keys = mix(own[:, pick].sum(axis=2, dtype=np.uint64) * np.uint64(2 * c + 1))
+                # A subset is in no more sets than its rarest element.
+                rare = counts[(h[starts[mine][:, None] + np.arange(s)] >> _COUNTER).astype(np.int64)][:, pick].min(axis=2)
+                out.append((keys.ravel(), np.repeat(mine, len(pick)), np.full(keys.size, -c), rare.ravel()))
+    # Rarest first, then by hash: place within the set.
+    held = counts[(h >> _COUNTER).astype(np.int64)]
+    by = np.lexsort((held, _narrow(rows, len(sizes))))
+    ranked, owner = h[by], rows[by]
+    pos = np.arange(len(by)) - starts[owner]
+    limit = np.where(sizes > boundary, probe_length(sizes), np.where(sizes >= reach, index_length(sizes), 0))
+    keep = pos < limit[owner]
+    out.append((ranked[keep], owner[keep], pos[keep], held[by][keep]))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def _packed_lists(docs: DataFrame, counters: np.ndarray, boundary: int, shards: int, common: float) -> DataFrame:
+    """Entries by shard, sorted by key; keys in more than `common` sets by class, in shards from `shards` on."""
     shared = spark_of(docs).sparkContext.broadcast(counters)
 
+    def packed(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+        keys, cls, n, pos, count = (np.concatenate(x) for x in zip(*held, strict=True))
+        shard = (keys % np.uint64(shards)).astype(np.int32)
+        often = count > common
+        shard[often] = shards + (mix(cls[often].view(np.uint64) ^ keys[often]) % np.uint64(shards)).astype(np.int32)
+        by = np.lexsort((keys, shard))
+        keys, cls, n, pos, shard = keys[by], cls[by], n[by], pos[by], shard[by]
+        cuts = np.flatnonzero(np.diff(shard, prepend=-1))
+        rows = []
+        for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(shard)], strict=True):
+            own, at = np.unique(cls[a:b], return_inverse=True)
+            which = squeeze(own) + squeeze(at.astype("<i4"))
+            rows.append((int(shard[a]), rises(keys[a:b].view(np.int64)), which, squeeze(n[a:b].astype("<i4")), squeeze(pos[a:b].astype("<i4"))))
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int32() if k == 0 else pa.binary()) for k, x in enumerate(zip(*rows, strict=True))], names=["shard", "h", "cls", "n", "pos"])
+
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = shared.value
-        reach = -(-PERCENT * (boundary + 1) // 100)
+        counts, held, size, seen = shared.value, [], 0, np.zeros(0, np.int64)
         for batch in sized_chunks(batches, "t"):
             h, rows = shingle_sets(batch.column("t"))
             sizes, classes = set_classes(h, rows, len(batch))
-            # Each class once a chunk.
+            # Each class once a piece.
             first = np.zeros(len(batch), bool)
             first[np.unique(classes, return_index=True)[1]] = True
-            first &= sizes > 0
+            first &= (sizes > 0) & ~np.isin(classes, seen)
             live = first[rows]
-            h, rows = h[live], rows[live]
-            if not len(h):
+            if not live.any():
                 continue
-            n = np.where(first, sizes, 0)
-            starts = np.cumsum(n) - n
-            out = []
-            for s in range(1, boundary + 1):
-                mine = np.flatnonzero(n == s)
-                if len(mine):
-                    own = mix(h[starts[mine][:, None] + np.arange(s)])
-                    for c in subset_sizes(s, boundary):
-                        pick = np.array(list(combinations(range(s), c)))
-                        keys = mix(own[:, pick].sum(axis=2, dtype=np.uint64) * np.uint64(2 * c + 1))
-                        out.append((keys.ravel(), np.repeat(mine, len(pick)), np.full(keys.size, -c)))
-            # Rarest first, then by hash: place within the set.
-            by = np.lexsort((counts[(h >> _COUNTER).astype(np.int64)], _narrow(rows, len(batch))))
-            ranked, owner = h[by], rows[by]
-            pos = np.arange(len(by)) - starts[owner]
-            limit = np.where(n > boundary, probe_length(n), np.where(n >= reach, index_length(n), 0))
-            keep = pos < limit[owner]
-            out.append((ranked[keep], owner[keep], pos[keep]))
-            keys, owner, pos = (np.concatenate(x) for x in zip(*out, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(classes[owner]), pa.array(sizes[owner].astype(np.int32)), pa.array(pos.astype(np.int32))], names=["h", "cls", "n", "pos"])
-
-    return docs.select("t").mapInArrow(each, "h long, cls long, n int, pos int")
+            keys, owner, pos, count = _entries(h[live], rows[live], np.where(first, sizes, 0), counts, boundary)
+            held.append((keys, classes[owner], sizes[owner], pos, count))
+            seen, size = np.concatenate((seen, classes[first])), size + len(keys)
+            if size >= PIECE:
+                yield from packed(held)
+                held, size, seen = [], 0, seen[:0]
+        if held:
+            yield from packed(held)
+
+    return docs.select("t").mapInArrow(each, _PACKED)
+
+
+def _shared_lists(packed: DataFrame, shards: int) -> DataFrame:
+    """h, cls, n, pos of the entries whose key different classes hold, and of all common keys."""
+
+    def entries(held: list[tuple], whole: bool) -> Iterator[pa.RecordBatch]:
+        h = np.concatenate([falls(x[0]) for x in held])
+        n, pos = (np.concatenate([expand(x[k], "<i4") for x in held]) for k in (2, 3))
+        cls = np.concatenate([_named(x[1]) for x in held])
+        by = np.argsort(h, kind="stable")
+        h, cls, n, pos = h[by], cls[by], n[by], pos[by]
+        if not whole and len(h):
+            begin = np.flatnonzero(np.diff(h, prepend=h[0] - 1))
+            mixed = np.minimum.reduceat(cls, begin) < np.maximum.reduceat(cls, begin)
+            keep = np.repeat(mixed, np.diff(np.concatenate((begin, [len(h)]))))
+            h, cls, n, pos = h[keep], cls[keep], n[keep], pos[keep]
+        # What several pieces told of one class stays once.
+        by = np.lexsort((pos, cls, h))
+        h, cls, n, pos = h[by], cls[by], n[by], pos[by]
+        new = np.ones(len(h), bool)
+        new[1:] = (h[1:] != h[:-1]) | (cls[1:] != cls[:-1]) | (pos[1:] != pos[:-1])
+        for at in np.array_split(np.flatnonzero(new), len(h) // 50_000 + 1):
+            yield pa.RecordBatch.from_arrays([pa.array(x[at]) for x in (h, cls, n, pos)], names=["h", "cls", "n", "pos"])
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for batch in batches:
+            for shard, *row in zip(*(batch.column(c).to_pylist() for c in ("shard", "h", "cls", "n", "pos")), strict=True):
+                if held and shard != now:
+                    yield from entries(held, now >= shards)
+                    held = []
+                now = shard
+                held.append(row)
+        if held:
+            yield from entries(held, now >= shards)
+
+    return packed.repartition("shard").sortWithinPartitions("shard").mapInArrow(each, "h long, cls long, n int, pos int")
+
+
+def _named(data: bytes) -> np.ndarray:
+    own, rest = expand(data, "<i8", more=True)
+    return own[expand(rest, "<i4")]
 
 
 def _may_link(n: Column, pos: Column, m: Column, at: Column) -> Column:
@@ -330,21 +411,30 @@ def _verified(pairs: DataFrame, docs: DataFrame, known: DataFrame) -> DataFrame:
     return both.select("a", "b", "x_size", "y_size", "x", "y").mapInArrow(judge, "a long, b long").distinct()
 
 
+def _labels(links: DataFrame) -> DataFrame:
+    """node, root: for each class that links to a lesser one, another that links connect it with, the lesser the better; not always the component's least."""
+    up = links.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("root"))
+    for _ in range(2):
+        on = up.select(F.col("node").alias("_n"), F.col("root").alias("_r"))
+        up = up.join(on, up["root"] == on["_n"], "left").select("node", F.coalesce("_r", "root").alias("root"))
+    return cut(up)
+
+
 def linked_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, class_id (alike where the sets are equal) and text_hash for each row of docs, and
     first: whether the row has the least id of its component, and of rows with that id the least text_hash."""
-    source = docs.select(F.col(doc_id).cast("long").alias("d"), F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("t")).withColumn("th", F.xxhash64("t"))
+    small_batches(spark_of(docs))
+    source = docs.select(quoted(doc_id).cast("long").alias("d"), F.coalesce(quoted(text).cast("binary"), F.lit(b"")).alias("t")).withColumn("th", F.xxhash64("t"))
     scanned = cut(_scan(source))
     known = scanned.where("kind = 0").select("d", "th", "cls", "n")
     counters, summed, squares = _counters(scanned)
-    histogram = {r.n: r.k for r in known.where("n > 0").groupBy(F.least("n", F.lit(LARGEST_BOUNDARY + 1)).alias("n")).agg(F.count_distinct("cls").alias("k")).toLocalIterator()}
+    histogram = {r.n: r.k for r in known.where("n > 0").groupBy(F.least("n", F.lit(LARGEST_BOUNDARY + 1)).alias("n")).agg(F.count_distinct("cls").alias("k")).collect()}
     length = squares / summed - summed / WIDTH if summed else 0.0
     boundary = choose_boundary(histogram, max(0.0, length))
 
-    whole = Window.partitionBy("h")
-    rows = _list_rows(source, counters, boundary)
+    shards = max(16, int(summed) // 4 // SHARD)  # about a quarter of all shingles are entries
+    lists = cut(_shared_lists(_packed_lists(source, counters, boundary, shards, COMMON + 8 * summed / WIDTH), shards))
     del counters
-    lists = cut(rows.withColumns({"lo": F.min("cls").over(whole), "hi": F.max("cls").over(whole)}).where("lo < hi").drop("lo", "hi"))
 
     sketched = _sketched(lists, source, known)
 
@@ -378,13 +468,16 @@ def linked_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "t
             found = cut(_verified(likely, source, known))
             fresh = not found.isEmpty()
         if fresh:
-            links = found if links is None else cut(links.union(found))
-            roots = components(links)
+            links = found if links is None else links.union(found)
+            if not last:
+                roots = _labels(links)
         tested = pairs if tested is None else tested.union(pairs)
         turn += 1
         # Leaders as long as they find links, then what is left once, in full.
         stars = None if last else fresh and turn < STAR_ROUNDS
 
+    if links is not None:
+        roots = components(links)
     if roots is None:
         joined = known.withColumn("c", F.col("cls"))
     else:
@@ -406,17 +499,18 @@ def linked_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "t
 def one_per_component(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with one row of each component: that of the least id.  Of rows that are alike in id and text one stays, too, if they have words."""
     groups = cut(linked_components(docs, doc_id=doc_id, text=text).where("n_shingles > 0"))
-    keyed = docs.withColumns({"_d": F.col(doc_id).cast("long"), "_th": F.xxhash64(F.coalesce(F.col(text).cast("binary"), F.lit(b"")))})
+    d, th, i, h = unused(docs, "_d", "_th", "_i", "_h")
+    keyed = docs.withColumns({d: quoted(doc_id).cast("long"), th: F.xxhash64(F.coalesce(quoted(text).cast("binary"), F.lit(b"")))})
 
     def ids(rows: DataFrame) -> DataFrame:
-        few = rows.select(F.col("doc_id").alias("_i"), F.col("text_hash").alias("_h")).distinct()
+        few = rows.select(F.col("doc_id").alias(i), F.col("text_hash").alias(h)).distinct()
         return F.broadcast(few) if rows.count() <= BROADCAST_IDS else few
 
-    same = lambda right: keyed["_d"].eqNullSafe(right["_i"]) & (keyed["_th"] == right["_h"])
+    same = lambda right: keyed[d].eqNullSafe(right[i]) & (keyed[th] == right[h])
     others = ids(groups.where(~F.col("first")))
     kept = keyed.join(others, same(others), "left_anti")
     repeated = groups.where("first").groupBy("doc_id", "text_hash").agg(F.count("*").alias("k")).where("k > 1")
     if not repeated.isEmpty():
         twice = ids(repeated)
-        kept = kept.join(twice, same(twice), "left_anti").union(kept.join(twice, same(twice), "left_semi").dropDuplicates(["_d", "_th"]))
-    return kept.drop("_d", "_th")
+        kept = kept.join(twice, same(twice), "left_anti").union(kept.join(twice, same(twice), "left_semi").dropDuplicates([d, th]))
+    return kept.drop(d, th)
