@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stratalog.llm.common import CHUNK_BYTES, cut, mix, quoted, sized_chunks, small_batches, spark_of, unused, words_of
+from stratalog.llm.common import CHUNK_BYTES, cut, mix, quoted, release, sized_chunks, small_batches, spark_of, unused, words_of
 from stratalog.llm.graph import components
 from stratalog.llm.packing import expand, falls, rises, squeeze
 
@@ -55,7 +55,7 @@ LARGEST_BOUNDARY = 12
 #: Documents whose ids may be broadcast to pick their texts; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 #: Rounds of checks against leaders, as long as they find links.
-STAR_ROUNDS = 2
+STAR_ROUNDS = 3
 #: Entries that a task packs together, and entries of a shard.
 PIECE, SHARD = 1 << 20, 1 << 20
 #: A key is spread if its counter has more than this and 8 times the mean.
@@ -437,6 +437,7 @@ def linked_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "t
     del counters
 
     sketched = _sketched(lists, source, known)
+    release(spark_of(docs))
 
     links: DataFrame | None = None
     roots: DataFrame | None = None
@@ -469,15 +470,15 @@ def linked_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "t
             fresh = not found.isEmpty()
         if fresh:
             links = found if links is None else links.union(found)
-            if not last:
-                roots = _labels(links)
         tested = pairs if tested is None else tested.union(pairs)
         turn += 1
         # Leaders as long as they find links, then what is left once, in full.
         stars = None if last else fresh and turn < STAR_ROUNDS
+        if links is not None and (fresh or not last):
+            roots = _labels(links) if stars else components(links)
+        del pairs, likely
+        release(spark_of(docs))
 
-    if links is not None:
-        roots = components(links)
     if roots is None:
         joined = known.withColumn("c", F.col("cls"))
     else:
