@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalog.llm.common import new_folder, table
+from stratalog.llm.common import drop_folder, new_folder, table
 from stratalog.llm.decontaminate import decontaminate
 from stratalog.llm.language_id import UNKNOWN, train_and_identify
 from stratalog.llm.line_dedup import dedup_lines
@@ -61,9 +61,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents", *COLUMNS)
+    docs, before = table(spark, sf_dir, "documents", *COLUMNS), None
     for name, stage in STAGES[:-1]:
         folder = new_folder(spark, "pipeline-" + name.replace(" ", "-"))
         stage(spark, docs, sf_dir).write.parquet(folder)
         docs = spark.read.parquet(folder)
+        if before:
+            drop_folder(spark, before)
+        before = folder
     return STAGES[-1][1](spark, docs, sf_dir)
