@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratalog.llm.common import table
+from stratalog.llm.oracles import ORACLES  # noqa: F401
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,7 +35,7 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from stratalog.llm.ngram_join import linked_components
 
-    return linked_components(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return linked_components(table(spark, sf_dir, "documents", "doc_id", "text")).select("doc_id", "n_shingles", "component_id")
 
 
 def op5_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,5 +88,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_language_id": op10_language_id,
 }
-
-ORACLES: dict[str, str] = {}
