@@ -1,11 +1,13 @@
 """URL filter: host and path rules first, else logistic regression on hashed character n-grams of host and path.
 
 Everything runs as DataFrame and SQL expressions and Spark ML on the JVM; there is no Python on the executors.
-The model is trained from a small labelled URL table, a parameter; the default one is below.
+The model is trained from a small labelled URL table, a parameter; the default one, of whole URLs, is in url_labels.py, and
+one in `HELD_OUT` of it is kept out of training, to measure by.
 
 Defined results: a null url, or one without "://", has the host "" and the path ""; no rule fits it and the model
 judges it by its intercept.  Repeated rows are judged alike and kept.  An empty input gives an empty result.
-Further columns of the input pass through `judge_urls` unless they bear one of the names it adds, which it replaces.
+Further columns of the input pass through `judge_urls`, whatever their names, unless they bear one it adds, which it
+replaces.
 """
 
 from __future__ import annotations
@@ -17,42 +19,20 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalog.llm.common import ascii_lower, spark_of
+from stratalog.llm.common import ascii_lower, others, quoted, spark_of, unused
+from stratalog.llm.url_labels import ALLOW, BLOCK
 
 #: (host and path, verdict)
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 
-# Host labels that stand for unwanted and for wanted sites in the default labelled table.
-UNWANTED = (
-    "casino", "casino-bonus", "win-casino", "online-poker", "poker-win", "free-slots", "jackpot-win", "lottery-win",
-    "sports-bet", "free-bet", "bets-online", "bingo-bets", "cheap-pill", "pills-online", "cheap-meds", "viagra-shop",
-    "cialis-cheap", "diet-pills", "replica-watch", "cheap-bags", "payday-loan", "fast-loans", "free-money", "easy-cash",
-    "adult", "adult-video", "adult-cam", "xxx-video", "porn-tube", "x-rated", "sex-chat", "escort-x", "spam", "spam-mail",
-    "link-farm", "click-farm", "ads", "ads-server", "ad-track", "track-click", "tracker", "popunder-ads", "banner-ads",
-    "crack-keygen", "warez", "free-crack", "torrent-x", "clickbait-win", "bonus-win", "free-gift-win",
-)
-WANTED = (
-    "weather", "theatre", "northern-herald", "thereader", "otherwise", "earth", "health", "method", "research", "nation",
-    "station", "history", "another", "thunder", "heather", "matter", "letters", "gardening", "evening-post", "morning",
-    "learning", "engineering", "teaching", "reading", "writing", "fishing", "running", "printing", "science", "physics",
-    "biology", "library", "museum", "university", "school", "council", "parish", "village", "county", "river",
-    "mountain", "forest", "hiking", "cycling", "sailing", "recipes", "kitchen", "bakery", "wheat", "orchard", "farmers",
-    "music", "orchestra", "painting", "gallery", "poetry", "fiction", "journal", "tribune", "gazette", "observer",
-    "standard", "whitehall", "wharton", "ethnography", "anthology", "rhythm", "the-nest", "heronry", "eastern-shore",
-)
-_FRONTS = ("", "www.", "m.", "blog.")
-_ENDS = ("com", "org", "net")
-_PATHS = ("/en/12", "/de/340/", "/fr/56.html", "/es/7", "/", "/en/801?page=2")
+#: Of the default table, one url in so many is held out of training.
+HELD_OUT = 5
 
 
 def default_labels(spark: SparkSession) -> DataFrame:
-    """The small labelled URL table (url, label; 1 is to be blocked).  Fronts, endings and paths turn alike through both classes."""
-    rows = []
-    for label, hosts in ((1.0, UNWANTED), (0.0, WANTED)):
-        for i, host in enumerate(hosts):
-            url = f"https://{_FRONTS[i % 4]}{host}.example.{_ENDS[i % 3]}{_PATHS[i % 6]}"
-            rows.append(F.struct(F.lit(url).alias("url"), F.lit(label).alias("label")))
-    return spark.range(1).select(F.inline(F.array(*rows)))
+    """The small labelled URL table (url, label; 1 is to be blocked; held_out, by the crc32 of the url)."""
+    rows = [F.struct(F.lit(url).alias("url"), F.lit(label).alias("label")) for label, urls in ((1.0, BLOCK), (0.0, ALLOW)) for url in urls]
+    return spark.range(1).select(F.inline(F.array(*rows))).withColumn("held_out", F.crc32("url") % HELD_OUT == 0)
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -83,27 +63,35 @@ def _grams(text: Column, mark: str, sizes: tuple[int, ...]) -> Column:
     return F.concat(*map(pieces, sizes))
 
 
-def _features(df: DataFrame, sizes: tuple[int, ...]) -> DataFrame:
-    """Paths lose their digits, which say nothing of the site."""
-    path = F.regexp_replace("path", "[0-9]+", "0")
-    return df.withColumn("_grams", F.concat(_grams(F.col("host"), "h", sizes), _grams(path, "p", sizes)))
+def _grams_of(host: Column, path: Column, sizes: tuple[int, ...]) -> Column:
+    """N-grams of host and path.  Paths lose their digits, which say nothing of the site."""
+    return F.concat(_grams(host, "h", sizes), _grams(F.regexp_replace(path, "[0-9]+", "0"), "p", sizes))
 
 
-def train(labelled: DataFrame, *, sizes: tuple[int, ...] = (2, 3, 4), width: int = 1 << 13, penalty: float = 0.05) -> PipelineModel:
+def train(labelled: DataFrame, *, sizes: tuple[int, ...] = (2, 3, 4), width: int = 1 << 13, penalty: float = 0.05, prefix: str = "_") -> PipelineModel:
     """Logistic regression from a labelled URL table (url, label), which should be small: it is read once a step."""
     host, path = host_and_path(F.col("url"))
-    rows = _features(labelled.select(host.alias("host"), path.alias("path"), F.col("label").cast("double").alias("label")), sizes)
-    hashed = HashingTF(numFeatures=width, binary=True, inputCol="_grams", outputCol="_hashed")
-    return Pipeline(stages=[hashed, LogisticRegression(featuresCol="_hashed", regParam=penalty, probabilityCol="_p", rawPredictionCol="_raw", predictionCol="_said")]).fit(rows)
+    label = F.col("label").cast("double")
+    share = labelled.agg(F.avg(label)).first()[0] or 0.0  # both classes weigh alike
+    rows = labelled.select(_grams_of(host, path, sizes).alias(f"{prefix}grams"), label.alias("label"), (F.when(label == 1, F.lit(1 - share)).otherwise(F.lit(share)) if 0 < share < 1 else F.lit(1.0)).alias("weight"))
+    hashed = HashingTF(numFeatures=width, binary=True, inputCol=f"{prefix}grams", outputCol=f"{prefix}hashed")
+    return Pipeline(stages=[hashed, LogisticRegression(featuresCol=f"{prefix}hashed", weightCol="weight", regParam=penalty, probabilityCol=f"{prefix}p", rawPredictionCol=f"{prefix}raw", predictionCol=f"{prefix}said")]).fit(rows)
 
 
 def judge_urls(pages: DataFrame, *, url: str = "url", rules=RULES, labelled: DataFrame | None = None, threshold: float = 0.5, sizes: tuple[int, ...] = (2, 3, 4)) -> DataFrame:
     """pages with host, path, rule, verdict (allow or block) and p_block, the model's probability of block."""
-    model = train(labelled if labelled is not None else default_labels(spark_of(pages)), sizes=sizes)
-    own = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict", "p_block", "_grams", "_hashed", "_raw", "_p", "_said")]
-    host, path = host_and_path(F.col(url))
-    parsed = _features(pages.select(*own, host.alias("host"), path.alias("path")), sizes)
-    rule, verdict = matching_rule(F.col("host"), F.col("path"), rules)
-    p = vector_to_array("_p").getItem(1)
+    known = labelled if labelled is not None else default_labels(spark_of(pages)).where("not held_out")
+    # The model's columns get a prefix that no column of pages begins with.
+    prefix = "_"
+    while any(c.lower().startswith(prefix) for c in pages.columns):
+        prefix += "_"
+    model = train(known, sizes=sizes, prefix=prefix)
+    columns = others(pages, "host", "path", "rule", "verdict", "p_block")
+    host_, path_ = unused(pages, f"{prefix}host", f"{prefix}path")
+    host, path = host_and_path(quoted(url))
+    parsed = pages.select(*map(quoted, columns), host.alias(host_), path.alias(path_))
+    featured = parsed.withColumn(f"{prefix}grams", _grams_of(F.col(host_), F.col(path_), sizes))
+    rule, verdict = matching_rule(F.col(host_), F.col(path_), rules)
+    p = vector_to_array(f"{prefix}p").getItem(1)
     said = F.when(p >= threshold, "block").otherwise("allow")
-    return model.transform(parsed).select(*own, "host", "path", rule.alias("rule"), F.coalesce(verdict, said).alias("verdict"), p.alias("p_block"))
+    return model.transform(featured).select(*map(quoted, columns), F.col(host_).alias("host"), F.col(path_).alias("path"), rule.alias("rule"), F.coalesce(verdict, said).alias("verdict"), p.alias("p_block"))
