@@ -223,9 +223,14 @@ def _labelled(parts: list[tuple[_Block, str]], marks: _Tree) -> list[bool]:
         if not b.outside:
             free[b.marks] = free.get(b.marks, 0) + max(len(text) - b.linked, 0)
     held = marks.gathered(free)
-    # Whole labels always count, partial ones on elements that hold a small part of the page.
-    out = marks.under({node for node, kind in kinds.items() if kind == 2 or held[node] < WRAPPER * held[0] or not held[node]})
-    return [b.outside or out[b.marks] for b, _ in parts]
+    small = {node for node in kinds if held[node] < WRAPPER * held[0] or not held[node]}
+    # Whole labels count on any element, partial ones on elements that hold a small part of the page; if nothing is left, all count so.
+    for tops in (small | {node for node, kind in kinds.items() if kind == 2}, small):
+        out = marks.under(tops)
+        said = [b.outside or out[b.marks] for b, _ in parts]
+        if not all(said):
+            break
+    return said
 
 
 def main_text(page: str | None, share: float = SHARE, prior: float = PRIOR) -> str:

@@ -296,8 +296,33 @@ def test_mixing(docs, doc_rows, empty):
 
 def test_permutation(spark):
     for n in (1, 2, 7, 100):
-        seen = spark.range(n).select(op7.permuted(F.col("id"), F.lit(n).cast("long"), 3, F.lit("k")).alias("x")).collect()
-        assert sorted(r.x for r in seen) == list(range(n))
+        rows = spark.range(n).select(F.col("id").alias("x"), F.lit(n).cast("long").alias("n"), F.lit(5).cast("long").alias("k"))
+        assert sorted(r.x for r in op7.permuted(rows, "x", "n", "k", 3).collect()) == list(range(n))
+
+
+def test_shards_draw_their_sources(spark):
+    """Counts by shard are draws; all shards are full, and what is over or lacking is passed on."""
+    sources = spark.createDataFrame([(1, 700, 200, 0), (2, 2300, 900, 700), (3, 0, 5, 3000)], "no long, n_slots long, n_blocks long, first_slot long")
+    drawn = {(r.shard, r.no): r.drawn for r in op7.draw_counts(sources, 3000, shard_slots=500).collect()}
+    by_shard = [sum(n for (s, _), n in drawn.items() if s == k) for k in range(6)]
+    assert by_shard == [500] * 6 and len({n for (_, no), n in drawn.items() if no == 1}) > 1 and not any(no == 3 for _, no in drawn)
+    assert all(abs(n - 500 * 700 / 3000) < 5 * (500 * 0.23 * 0.77) ** 0.5 for (_, no), n in drawn.items() if no == 1)
+    rows = op7.slots(sources, shard_slots=500).collect()
+    assert sorted((r.no, r.slot) for r in rows) == [(1, k) for k in range(700)] + [(2, k) for k in range(2300)]
+    assert Counter(r.shard for r in rows) == dict.fromkeys(range(6), 500)
+    passes = defaultdict(list)
+    for r in rows:
+        passes[r.no, r.slot // {1: 200, 2: 900}[r.no]].append(r.block)
+    assert all(len(set(b)) == len(b) for b in passes.values())
+
+
+def test_running_sum(spark):
+    rows = [(k % 7, k, k * k) for k in range(500)] + [(None, 1, 5)]
+    got = op7.running_sum(spark.createDataFrame(rows, "a int, b int, v long").repartition(5), [F.col("a").asc_nulls_last(), F.col("b")], "v", "upto").collect()
+    total = 0
+    for r in sorted(got, key=lambda r: (r.a is None, r.a, r.b)):
+        assert r.upto == total
+        total += r.v
 
 
 def plain_lines(rows):
@@ -324,12 +349,15 @@ def test_line_dedup(docs, doc_rows, empty, broadcast_keys):
 
 def test_line_runs(spark, docs):
     runs = op8.LineRuns(spark, fanout=2)
-    keys = op8.line_keys(docs, batches=5)
+    keys = op8.line_keys(docs, batches=5).cache()
     for b in range(5):
         runs.add(keys.where(F.col("batch") == b).drop("batch"))
-    whole = {(r.h1, r.h2): (r.n_docs, r.max_doc) for r in op8._merged(keys).collect()}
-    assert {(r.h1, r.h2): (r.n_docs, r.max_doc) for r in runs.totals().collect()} == whole
-    assert runs.rows().where("fresh").count() == len(whole) and runs.unseen(keys).count() == 0 and len(runs.levels) > 2
+    whole = {(r.h1, r.h2): r.n_docs for r in op8._merged(keys).collect()}
+    held = [(r.h1, r.h2) for run in runs._runs() for r in run.collect()]
+    assert sorted(held) == sorted(whole) and len(runs.levels) > 2  # each key in one run
+    assert runs.unseen(op8._merged(keys)).count() == 0
+    for least in (1, 2, 5):
+        assert {(r.h1, r.h2) for r in runs.frequent(least).collect()} == {k for k, n in whole.items() if n >= least}
     runs.drop()
 
 
@@ -381,3 +409,51 @@ def test_language_id(docs, doc_rows, empty):
     assert op10.train_and_identify(docs).count() == len(doc_rows)
     assert op10.train_and_identify(empty).count() == 0
     assert {r.lang_pred for r in op10.identify(docs, None).collect()} == {"und"}
+
+
+def test_every_text_with_letters_has_a_language(spark, docs):
+    rows = [(1, "ab"), (2, "é"), (3, "zq"), (4, "12 3"), (5, None), (6, ""), (7, "字")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    filters = op10.learn(docs)
+    got = {r.doc_id: (r.lang_pred, r.score) for r in op10.identify(frame, filters).collect()}
+    assert all((lang in filters.languages) == (i not in (4, 5, 6)) and 0 <= x <= 1 for i, (lang, x) in got.items())
+    many = docs.where("lang is not null").withColumn("lang", F.concat("lang", F.lit("-"), F.pmod("doc_id", F.lit(40))))
+    filters = op10.learn(many)
+    said = op10.identify(many, filters).where("length(text) > 200").collect()
+    assert len(filters.languages) > 32 and filters.masks.shape[1] == -(-len(filters.languages) // 64) and np.mean([r.lang == r.lang_pred for r in said]) > 0.8
+
+
+def test_more_languages_than_bits_of_a_word(spark):
+    rows = [(f"{chr(97 + k % 26)}{chr(97 + k // 26)}q " * 30, f"l{k:03}") for k in range(130)]
+    frame = spark.createDataFrame(rows, "text string, lang string")
+    filters = op10.learn(frame)
+    assert filters.masks.shape[1] == 3 and all(r.lang == r.lang_pred for r in op10.identify(frame, filters).collect())
+
+
+def test_columns_of_any_name_pass_through(spark, docs):
+    names = ["_text", "_mask", "_key", "_found", "_drop", "_d", "_r", "_th", "_html", "_grams", "_hashed", "_p", "a.b", "_counts", "_N_Words"]
+    frame = docs.select("doc_id", "text", "lang", "source", *[F.lit(k).alias(n) for k, n in enumerate(names)]).limit(12)
+    frame = spark.createDataFrame(frame.collect(), frame.schema)
+    bench = spark.createDataFrame([(1, "one two"), (2, " ".join("abcdefghijkl"))], "item_id long, text string")
+    pages = frame.withColumns({"url": F.lit("http://a.net/x"), "html": F.col("text")})
+    results = [op2.judge_quality(frame), op3.decontaminate(frame, bench), op3.decontaminate(frame, bench, block_words=3), op8.dedup_lines(frame), op8.dedup_lines(frame, broadcast_keys=-1), op10.identify(frame, op10.learn(frame)), op4.one_per_component(frame), op1.judge_urls(pages), op5.extract(pages.drop("text"))]
+    for got in results:
+        row = got.first()
+        assert [row[n] for n in names] == list(range(len(names)))
+
+
+def test_deep_pages_take_linear_time():
+    import time
+
+    began = time.perf_counter()
+    assert op5.main_text("<div>" * 60_000 + "deep, text.").endswith("deep, text.")
+    assert op5.main_text("<div>x, y " * 30_000).count("x, y") == 30_000
+    assert time.perf_counter() - began < 20
+
+
+def test_path_ratios_alone_find_the_article():
+    body = "".join(f"<p>{'A sentence of some length, with commas. ' * 5}</p>" for _ in range(6))
+    page = f"<html><body><nav><ul><li><a href=x>Home</a></li><li><a href=y>News</a></li></ul></nav><div class='x1'>Buy it, now.</div><main><h1>Heading</h1>{body}<figure><figcaption>The caption.</figcaption></figure></main><div>Fine print.</div></body></html>"
+    for prior in (1.0, op5.PRIOR):
+        text = op5.main_text(page, prior=prior)
+        assert text.startswith("Heading\n\nA sentence") and text.endswith("The caption.") and text.count("\n\n") == 7
