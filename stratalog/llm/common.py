@@ -6,12 +6,13 @@ import gc
 import re
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: White space of the word contracts, as a Java regex class body and as a set to trim.
 SPACE_CLASS = r"\x20\x09-\x0D"
@@ -60,6 +61,16 @@ def others(df: DataFrame, *names: str) -> list[str]:
     return [c for c in df.columns if c.lower() not in gone]
 
 
+def map_batches(rows: DataFrame, each: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType) -> DataFrame:
+    """rows.mapInArrow(each, schema) for rows with columns of any name, those with dots too."""
+    names = rows.columns
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return each(batch.rename_columns(names) for batch in batches)
+
+    return rows.toDF(*[f"c{k}" for k in range(len(names))]).mapInArrow(named, schema)
+
+
 def small_batches(spark: SparkSession, most: int = 4 << 20) -> None:
     """Bounds the bytes of each batch that this session passes to Python, unless they are bounded lower already."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"

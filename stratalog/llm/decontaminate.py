@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stratalog.llm.common import cut, others, quoted, sized_chunks, small_batches, spark_of, unused
+from stratalog.llm.common import cut, map_batches, others, quoted, sized_chunks, small_batches, spark_of, unused
 
 WINDOW = 10
 ADDED = ("n_words", "n_hit", "items", "over_limit")
@@ -234,7 +234,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text: str = "text",
                 found = [shared.value.hits(t.as_py() or b"") for t in batch.column(text).cast(pa.binary())]
                 yield finished(batch, [n for n, _, _ in found], [m for _, m, _ in found], [sorted(i) for _, _, i in found])
 
-        return source.mapInArrow(single, schema)
+        return map_batches(source, single, schema)
 
     hits = None
     while block is not None:
@@ -255,4 +255,4 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text: str = "text",
                 items.append(sorted({i for x in parts or () for i in x["items"]}))
             yield finished(batch, counts, masks, items)
 
-    return joined.mapInArrow(several, schema)
+    return map_batches(joined, several, schema)

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from stratalog.llm.common import others, quoted, sized_chunks, small_batches, spark_of
+from stratalog.llm.common import map_batches, others, quoted, sized_chunks, small_batches, spark_of
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+[\"']?[^>]*+)>", re.S)
 LABELS = re.compile(r"\b(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>\"']+)", re.I)
@@ -290,4 +290,4 @@ def extract(pages: DataFrame, *, html: str = "html", share: float = SHARE, prior
             texts = [main_text(x.as_py(), share, prior) for x in batch.column(html)]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in columns], pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=schema.names)
 
-    return source.mapInArrow(each, schema)
+    return map_batches(source, each, schema)

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stratalog.llm.common import cut, flat_bytes, lowered, mix, others, quoted, sized_chunks, small_batches, spark_of
+from stratalog.llm.common import cut, flat_bytes, lowered, map_batches, mix, others, quoted, sized_chunks, small_batches, spark_of
 
 UNKNOWN = "und"
 SIZES = (3, 4)
@@ -190,7 +190,7 @@ def identify(docs: DataFrame, filters: Filters | None, *, text: str = "text") ->
                     names[i], scores[i] = own.languages[best[i]], top[i] / all_[i]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in columns], pa.array(names, pa.string()), pa.array(scores)], names=schema.names)
 
-    return source.mapInArrow(each, schema)
+    return map_batches(source, each, schema)
 
 
 def fold(doc_id: Column) -> Column:

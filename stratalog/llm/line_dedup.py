@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stratalog.llm.common import cut, drop_folder, new_folder, others, quoted, sized_chunks, small_batches, spark_of, unused
+from stratalog.llm.common import cut, drop_folder, map_batches, new_folder, others, quoted, sized_chunks, small_batches, spark_of, unused
 
 LEAST_CHARS, LEAST_DOCS = 40, 5
 _NO_ID = -(1 << 63)  # stands for a null doc_id, below all others
@@ -230,7 +230,7 @@ def dedup_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
                             q += 1
                 yield rebuilt(part, drops, [t.split(b"\n") for t in texts])
 
-        return source.mapInArrow(each, schema)
+        return map_batches(source, each, schema)
 
     # Too many keys to broadcast: line places are joined with the keys, and the places to drop with their documents.
     def places(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,4 +257,4 @@ def dedup_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
             drops = [set(x or ()) for x in part.column(drop).to_pylist()]
             yield rebuilt(part, drops, [(t or b"").split(b"\n") for t in part.column(text).cast(pa.binary()).to_pylist()])
 
-    return joined.mapInArrow(remove, schema)
+    return map_batches(joined, remove, schema)
