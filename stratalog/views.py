@@ -79,7 +79,7 @@ def conversations_history(spark: SparkSession, sf_dir: str, *, merges: bool = Tr
         F.col("role").alias("committer_name"),
         email.alias("committer_email"),
         when.alias("committer_when"),
-        F.substring("text", 1, 40).alias("commit_message"),
+        F.col("text").alias("commit_message"),
         F.sha1(F.concat(F.lit("tree:"), "conv_id", F.lit(":"), t)).alias("tree_hash"),
         parents.alias("commit_parents"),
     )
