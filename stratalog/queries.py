@@ -477,6 +477,12 @@ _over(
 )
 _LEAK = r'token = "[0-9a-f]{40}"'
 _over("leak_scan", ("documents",), f"SELECT doc_id FROM documents WHERE text RLIKE '{_LEAK}'", f"SELECT doc_id FROM documents WHERE regexp_matches(text, '{_LEAK}')")
+_over(
+    "leaks_in_documents",
+    ("documents",),
+    "SELECT doc_id, kind FROM (SELECT doc_id, CASE " + " ".join(f"WHEN text RLIKE '{p}' THEN '{n}'" for n, p in _SECRETS.items()) + " END AS kind FROM documents) t WHERE kind IS NOT NULL",
+    "SELECT doc_id, kind FROM (SELECT doc_id, CASE " + " ".join(f"WHEN regexp_matches(text, '{p}') THEN '{n}'" for n, p in _SECRETS.items()) + " END AS kind FROM documents) t WHERE kind IS NOT NULL",
+)
 
 
 @query("SELECT doc_id, CAST(len(regexp_extract_all(lower(text), 'token')) AS INT) AS n FROM documents", closed=False)
