@@ -32,6 +32,8 @@ from stratalog.llm.common import SPACE_CHARS, SPACE_CLASS, cut, quoted, spark_of
 BLOCK_WORDS = 64
 SHARD_SLOTS = 1 << 14
 WEIGHTS = (1, 2, 3)
+#: Sources that may be broadcast to their documents (some 100 bytes each); more are joined by a shuffle.
+BROADCAST_SOURCES = 100_000
 ROUNDS = 12
 #: Slots that one row of an interval table spans at most, and that one task makes.
 _CHUNK, _TASK_SLOTS = 1 << 12, 1 << 17
@@ -143,6 +145,8 @@ def mix(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source:
     few = sources.select("no", F.col("source").alias("_s"), "source_size", "target")
     begins = sizes.select(F.col("source").alias("_s"), "first_word")
     named = few.join(begins, few["_s"].eqNullSafe(begins["_s"])).select(few["_s"], "no", "source_size", "target", "first_word")
+    if sources.count() <= BROADCAST_SOURCES:
+        named = F.broadcast(named)
     held = placed.join(named, placed["source"].eqNullSafe(named["_s"])).drop("_s")
     # Words of each document by the block that holds them; copies follow one another and share the document's row.
     start = F.col("at") - F.col("first_word")
