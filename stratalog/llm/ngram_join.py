@@ -13,8 +13,9 @@ the threshold.
   least, by the histogram of set sizes.
 
 List entries are shuffled packed: a task sorts its entries, and each shard of them is a row with compressed arrays.  The
-shard's task keeps the entries whose key different classes hold, an eighth or so.  Keys that the counters show to be in
-very many sets are spread over shards of their own and kept unseen, so no list meets in one task.
+shard's task keeps the entries whose key different classes hold and of which the sizes are near enough, less than an
+eighth.  Keys that the counters show to be in very many sets are spread over shards of their own and kept unseen, so no
+list meets in one task.
 
 Lists are not turned into all pairs.  First each member is checked against its list's leader, and what the links found
 connect gets one label; then the same with other leaders, among members of different labels; in the end only pairs of
@@ -270,8 +271,24 @@ def _packed_lists(docs: DataFrame, counters: np.ndarray, boundary: int, shards:
     return docs.select("t").mapInArrow(each, _PACKED)
 
 
+def _in_reach(h: np.ndarray, n: np.ndarray, pos: np.ndarray) -> np.ndarray:
+    """Which of some entries, sorted by key and size, another one of their key may link with: by the nearest sizes, and of keys with two entries by their places, too."""
+    n, pos = n.astype(np.int64), pos.astype(np.int64)
+    near = (h[1:] == h[:-1]) & (100 * n[:-1] >= PERCENT * n[1:])
+    begin = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+    x = begin[np.diff(np.concatenate((begin, [len(h)]))) == 2]
+    y = x + 1
+    overlap = -(-PERCENT * (n[x] + n[y]) // (100 + PERCENT))
+    in_lists = (pos[x] <= n[x] - overlap) & (pos[y] <= n[y] - overlap) & (np.minimum(pos[x], pos[y]) + 1 + np.minimum(n[x] - pos[x], n[y] - pos[y]) - 1 >= overlap)
+    near[x] &= np.where(pos[x] < 0, overlap == -pos[x], in_lists)
+    keep = np.zeros(len(h), bool)
+    keep[1:] |= near
+    keep[:-1] |= near
+    return keep
+
+
 def _shared_lists(packed: DataFrame, shards: int) -> DataFrame:
-    """h, cls, n, pos of the entries whose key different classes hold, and of all common keys."""
+    """h, cls, n, pos of the entries whose key different classes hold, if one of those may link with them, and of all common keys."""
 
     def entries(held: list[tuple], whole: bool) -> Iterator[pa.RecordBatch]:
         h = np.concatenate([falls(x[0]) for x in held])
@@ -289,7 +306,12 @@ def _shared_lists(packed: DataFrame, shards: int) -> DataFrame:
         h, cls, n, pos = h[by], cls[by], n[by], pos[by]
         new = np.ones(len(h), bool)
         new[1:] = (h[1:] != h[:-1]) | (cls[1:] != cls[:-1]) | (pos[1:] != pos[:-1])
-        for at in np.array_split(np.flatnonzero(new), len(h) // 50_000 + 1):
+        h, cls, n, pos = h[new], cls[new], n[new], pos[new]
+        if not whole and len(h):
+            by = np.lexsort((n, h))
+            by = by[_in_reach(h[by], n[by], pos[by])]
+            h, cls, n, pos = h[by], cls[by], n[by], pos[by]
+        for at in np.array_split(np.arange(len(h)), len(h) // 50_000 + 1):
             yield pa.RecordBatch.from_arrays([pa.array(x[at]) for x in (h, cls, n, pos)], names=["h", "cls", "n", "pos"])
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

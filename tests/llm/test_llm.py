@@ -457,3 +457,27 @@ def test_path_ratios_alone_find_the_article():
     for prior in (1.0, op5.PRIOR):
         text = op5.main_text(page, prior=prior)
         assert text.startswith("Heading\n\nA sentence") and text.endswith("The caption.") and text.count("\n\n") == 7
+
+
+def test_entries_within_reach():
+    """No entry is dropped that may link with another of its key."""
+    from stratalog.llm.ngram_join import _in_reach, needed
+
+    rng = np.random.default_rng(5)
+    h, n = rng.integers(0, 300, 900), rng.integers(1, 60, 900)
+    pos = np.where(h % 7 == 0, -rng.integers(1, 9, 900), rng.integers(0, 60, 900) % n)
+    by = np.lexsort((n, h))
+    h, n, pos = h[by], n[by], pos[by]
+    kept = _in_reach(h, n, pos)
+
+    def may_link(i: int, j: int) -> bool:
+        overlap = needed(int(n[i]), int(n[j]))
+        if pos[i] < 0:
+            return overlap == -pos[i]
+        return max(pos[i] - n[i], pos[j] - n[j]) <= -overlap and min(pos[i], pos[j]) + min(n[i] - pos[i], n[j] - pos[j]) >= overlap
+
+    for i in range(len(h)):
+        partners = [j for j in range(len(h)) if j != i and h[j] == h[i] and 100 * min(n[i], n[j]) >= 75 * max(n[i], n[j]) and may_link(i, j)]
+        assert kept[i] or not partners
+    assert 0 < kept.sum() < len(h)
+    assert len(_in_reach(h[:1], n[:1], pos[:1])) == 1
