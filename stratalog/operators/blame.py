@@ -12,15 +12,25 @@ _BLAME = "repository_id string, commit_hash string, file_path string, linenum in
 
 
 def first_parent_line(asked: DataFrame, commits: DataFrame) -> DataFrame:
-    """asked: repository_id, commit_hash.  Each asked commit's first-parent ancestors, itself first: step, ancestor, author."""
-    known = commits.select("repository_id", F.col("commit_hash").alias("ancestor"), F.col("commit_author_email").alias("author"), F.get("commit_parents", F.lit(0)).alias("parent"))
-    level = asked.select("repository_id", "commit_hash", F.col("commit_hash").alias("ancestor")).distinct().join(known, ["repository_id", "ancestor"]).withColumn("step", F.lit(0)).checkpoint()
-    found = level
-    while not level.isEmpty():
-        up = level.select("repository_id", "commit_hash", F.col("parent").alias("ancestor"), (F.col("step") + 1).alias("step"))
-        level = up.join(known, ["repository_id", "ancestor"]).select(*found.columns).checkpoint()
-        found = found.union(level)
-    return found.select("repository_id", "commit_hash", "step", "ancestor", "author")
+    """asked: repository_id, commit_hash.  Each asked commit's first-parent ancestors, itself first: step, ancestor, author.
+
+    Each round doubles the part of the line that is known, and the steps that a jump takes.
+    """
+    key = ["repository_id", "ancestor"]
+    known = commits.select("repository_id", F.col("commit_hash").alias("ancestor"), F.col("commit_author_email").alias("author"))
+    parent = commits.select("repository_id", F.col("commit_hash").alias("ancestor"), F.get("commit_parents", F.lit(0)).alias("to"))
+    jump = parent.join(asked.select("repository_id").distinct(), "repository_id", "left_semi").join(known.select("repository_id", F.col("ancestor").alias("to")), ["repository_id", "to"], "left_semi").select(*key, "to").checkpoint()
+    found = asked.select("repository_id", "commit_hash", F.col("commit_hash").alias("ancestor")).distinct().join(known.select(*key), key, "left_semi").select("repository_id", "commit_hash", "ancestor", F.lit(0).alias("step")).checkpoint()
+    reach = 1
+    while True:
+        further = found.join(jump, key).select("repository_id", "commit_hash", F.col("to").alias("ancestor"), (F.col("step") + F.lit(reach)).alias("step")).checkpoint()
+        if further.isEmpty():
+            break
+        found = found.union(further)
+        on = jump.select("repository_id", F.col("ancestor").alias("to"), F.col("to").alias("end"))
+        jump = jump.join(on, ["repository_id", "to"]).select(*key, F.col("end").alias("to")).checkpoint()
+        reach *= 2
+    return found.join(known, key).select("repository_id", "commit_hash", "step", "ancestor", "author")
 
 
 def _attribute(versions: pd.DataFrame) -> pd.DataFrame:

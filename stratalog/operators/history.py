@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -43,18 +45,25 @@ def ref_commits(refs: DataFrame, commits: DataFrame, *, dedupe: bool = False) ->
     return tips.cogroup(edges).applyInPandas(walk, SCHEMAS["ref_commits"])
 
 
-def reachable(refs: DataFrame, commits: DataFrame, *, most_rounds: int = 1_000_000) -> DataFrame:
-    """Commits that any ref reaches, once each: breadth first, a join a round, lineage cut as it goes."""
-    edges = commits.select("repository_id", "commit_hash", F.explode("commit_parents").alias("parent"))
-    tips = refs.select("repository_id", "commit_hash").join(commits.select("repository_id", "commit_hash"), ["repository_id", "commit_hash"], "left_semi")
-    front = seen = tips.distinct().checkpoint()
-    for _ in range(most_rounds):
-        onward = front.join(edges, ["repository_id", "commit_hash"]).select("repository_id", F.col("parent").alias("commit_hash")).distinct()
-        front = onward.join(seen, ["repository_id", "commit_hash"], "left_anti").checkpoint()
-        if front.isEmpty():
-            break
-        seen = seen.union(front).checkpoint()
-    return commits.join(seen, ["repository_id", "commit_hash"], "left_semi")
+def reachable(refs: DataFrame, commits: DataFrame) -> DataFrame:
+    """Commits that any ref reaches, once each: breadth first, a join a round, lineage cut as it goes.
+
+    What was seen is kept in parts of which equally old ones are merged, so a row is written again a few times only.
+    """
+    key = ["repository_id", "commit_hash"]
+    edges = commits.select(*key, F.explode("commit_parents").alias("parent"))
+    front = refs.select(*key).join(commits.select(*key), key, "left_semi").distinct().checkpoint()
+    parts, rounds = [front], 0
+    while not front.isEmpty():
+        onward = front.join(edges, key).select("repository_id", F.col("parent").alias("commit_hash")).distinct()
+        front = onward.join(reduce(DataFrame.union, parts), key, "left_anti").checkpoint()
+        parts.append(front)
+        rounds += 1
+        age = rounds
+        while age % 2 == 0 and len(parts) > 1:
+            parts[-2:] = [parts[-2].union(parts[-1]).checkpoint()]
+            age //= 2
+    return commits.join(reduce(DataFrame.union, parts), key, "left_semi")
 
 
 def least_depth(refs: DataFrame, commits: DataFrame, *, depth: int) -> DataFrame:
