@@ -46,9 +46,13 @@ class EliasFano:
         if not self.low_bits:
             return np.zeros(len(i), np.int64)
         bit = i * self.low_bits
-        byte, out = bit >> 3, np.zeros(len(i), np.uint64)
-        for k in range(min(8, self.low_bits // 8 + 2)):
-            out |= self.low[byte + k].astype(np.uint64) << np.uint64(8 * k)
+        byte = bit >> 3
+        if self.low_bits <= 57:  # all within the 8 bytes from the first one on, of which the padding has enough
+            out = np.ndarray(len(self.low) - 7, "<u8", self.low, strides=(1,))[byte]
+        else:
+            out = np.zeros(len(i), np.uint64)
+            for k in range(8):
+                out |= self.low[byte + k].astype(np.uint64) << np.uint64(8 * k)
         return ((out >> (bit & 7).astype(np.uint64)) & np.uint64((1 << self.low_bits) - 1)).astype(np.int64)
 
     def access(self, i: np.ndarray) -> np.ndarray:
@@ -58,23 +62,32 @@ class EliasFano:
         place = 8 * byte + _SELECT[own, i - (self._ones[byte] - _ONES[own])]
         return ((place - i) << self.low_bits) | self._lows(i)
 
-    def successor(self, x: np.ndarray) -> np.ndarray:
-        """Places of the first values that are not below x (n if there is none)."""
-        want = x >> self.low_bits
-        # The ones before the want-th zero are the values of which the high part is less.
-        zero = np.maximum(want - 1, 0)
+    def _below(self, high: np.ndarray) -> np.ndarray:
+        """How many values have a lower high part: the ones before its zero."""
+        zero = np.maximum(high - 1, 0)
         byte = np.minimum(np.searchsorted(self._zeros, zero, side="right"), len(self.high) - 1)
         own = self.high[byte]
         rest = np.clip(zero - (self._zeros[byte] - (8 - _ONES[own])), 0, 7)
         place = 8 * byte + _SELECT[~own & 0xFF, rest]
-        at = np.where(want > 0, np.minimum(place + 1 - want, self.n), 0)
-        beyond = (want > 0) & (zero >= self._zeros[-1])
-        at[beyond] = self.n
-        live = np.flatnonzero(at < self.n)
+        at = np.where(high > 0, np.minimum(place + 1 - high, self.n), 0)
+        at[(high > 0) & (zero >= self._zeros[-1])] = self.n
+        return at
+
+    def successor(self, x: np.ndarray) -> np.ndarray:
+        """Places of the first values that are not below x (n if there is none): by halving among those with x's high part."""
+        want = x >> self.low_bits
+        at, end = self._below(want), self._below(want + 1)
+        live = np.flatnonzero(at < end)
+        low, start, stop = (x & ((1 << self.low_bits) - 1))[live], at[live], end[live]
         while len(live):
-            live = live[self.access(at[live]) < x[live]]
-            at[live] += 1
-            live = live[at[live] < self.n]
+            middle = (start + stop) >> 1
+            less = self._lows(middle) < low
+            start, stop = np.where(less, middle + 1, start), np.where(less, stop, middle)
+            done = start >= stop
+            if done.any():
+                at[live[done]] = start[done]
+                left = ~done
+                live, low, start, stop = live[left], low[left], start[left], stop[left]
         return at
 
 

@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +43,7 @@ LEAST_SHARDS = 16
 ADD = 0.1
 
 _END = mix(np.array([0xE0D], np.uint64))[0]
-_WIDE = 20  # bits of a class number
+_WIDE, _PLACE = 20, 24  # bits of a class number; of a place that is sorted along with two of them
 _RARE = np.uint64(1 << 63)
 _ZSTD = pa.Codec("zstd", compression_level=1)
 
@@ -67,21 +68,27 @@ def tokens_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def _pieces(batches: Iterator[pa.RecordBatch], most: int = HELD_TOKENS) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Tokens, their rows, and the rows' names and training flags, of about `most` tokens a time."""
     held, n, m = [], 0, 0
-    join = lambda: tuple(np.concatenate(x) for x in zip(*held, strict=True))
+
+    def join() -> tuple:
+        out = tuple(np.concatenate(x) for x in zip(*held, strict=True))
+        held.clear()  # nor does this hold what it yields
+        return out
+
     for batch in sized_chunks(batches, "t"):
         tokens, owner = tokens_of(batch.column("t"))
         held.append((tokens, owner + m, batch.column("row").to_numpy(), batch.column("train").to_numpy(zero_copy_only=False)))
         n, m = n + len(tokens), m + len(batch)
         if n >= most or m >= 60_000:
             yield join()
-            held, n, m = [], 0, 0
+            n, m = 0, 0
     if held:
         yield join()
 
 
 def _word_counts(source: DataFrame) -> DataFrame:
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for tokens, *_ in _pieces(batches):
+        for tokens, *rest in _pieces(batches):
+            del rest
             h, n = np.unique(tokens, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], names=["h", "n"])
 
@@ -97,13 +104,28 @@ class Classes:
         self.count = np.concatenate(([0, texts], counts)).astype(np.float64)
         self.spread = np.ceil(self.count / (SHARD_TOKENS / 4)).astype(np.int64).clip(1)
 
+    @cached_property
+    def places(self) -> tuple[np.uint64, np.ndarray]:
+        """By the top bits of a hash the first place from which it may stand; about four times as many as words.  Not broadcast."""
+        bits = max(1, (4 * len(self.hashes)).bit_length())
+        shift = np.uint64(64 - bits)
+        first = np.searchsorted(self.hashes, np.arange(1 << bits, dtype=np.uint64) << shift)
+        return shift, np.minimum(first, len(self.hashes) - 1).astype(np.int32)
+
     def of(self, tokens: np.ndarray) -> np.ndarray:
         rare = tokens | _RARE
         if not len(self.hashes):
             return rare
-        at = np.searchsorted(self.hashes, tokens)
-        at[at == len(self.hashes)] = 0
-        return np.where(self.hashes[at] == tokens, at.astype(np.uint64) + np.uint64(2), rare)
+        shift, first = self.places
+        at = first[tokens >> shift]
+        held = self.hashes[at]
+        live = np.flatnonzero(held < tokens)
+        while len(live):
+            at[live] += 1
+            live = live[at[live] < len(self.hashes)]
+            held[live] = self.hashes[at[live]]
+            live = live[held[live] < tokens[live]]
+        return np.where(held == tokens, at.astype(np.uint64) + np.uint64(2), rare)
 
     def bigrams(self, ids: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Each token and the one before it."""
@@ -113,11 +135,18 @@ class Classes:
         return ids, before
 
     def shard(self, w: np.ndarray, u: np.ndarray) -> np.ndarray:
-        key = w.copy()
         often = w < _RARE
         own = w[often]
-        key[often] = (own << np.uint64(_WIDE)) | u[often] % self.spread[own.astype(np.int64)].astype(np.uint64)
-        return (mix(key) % np.uint64(self.shards)).astype(np.int64)
+        part = u[often]
+        part %= self.spread.astype(np.uint64)[own.view(np.int64)]
+        own <<= np.uint64(_WIDE)
+        own |= part
+        key = w.copy()
+        key[often] = own
+        del own, part
+        key = mix(key)
+        key %= np.uint64(self.shards)
+        return key.astype(np.uint16 if self.shards <= 1 << 15 else np.int64)
 
     def p(self, counts):
         return (counts + ADD) / (self.total + ADD * (self.distinct + 1))
@@ -188,12 +217,15 @@ def _falls(data: bytes) -> np.ndarray:
 def _by_shard(classes: Classes, w: np.ndarray, u: np.ndarray) -> Iterator[tuple[int, np.ndarray, bytes, bytes, bytes]]:
     """For each shard the places of its bigrams, numbered words first, and these packed: keys of the numbered, w and u of the others.
 
-    w and u are sorted, w first.
+    w and u are sorted as _sorted does.
     """
     shard = classes.shard(w, u)
+    cuts = np.concatenate(([0], np.cumsum(np.bincount(shard, minlength=classes.shards))))
     mixed = (w | u) >= _RARE
-    order = np.lexsort((mixed, shard.astype(np.uint16) if classes.shards <= 1 << 16 else shard))
-    cuts = np.searchsorted(shard[order], np.arange(classes.shards + 1))
+    shard <<= 1
+    shard |= mixed
+    order = np.argsort(shard, kind="stable")
+    del shard
     for s in range(classes.shards):
         if cuts[s] < cuts[s + 1]:
             at = order[cuts[s] : cuts[s + 1]]
@@ -202,11 +234,33 @@ def _by_shard(classes: Classes, w: np.ndarray, u: np.ndarray) -> Iterator[tuple[
             yield s, at, _rises(((w[plain] << np.uint64(_WIDE)) | u[plain]).astype(np.int64)), _rises(w[other].view(np.int64)), _squeeze(u[other])
 
 
+def _order(w: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """The order by (w, u), numbered words before the others."""
+    mixed = (w | u) >= _RARE
+    plain, other = np.flatnonzero(~mixed), np.flatnonzero(mixed)
+    keys = w[plain]
+    keys <<= np.uint64(_WIDE)
+    keys |= u[plain]
+    if len(plain) < 1 << _PLACE:  # keys and places in one number sort much faster than places by keys
+        keys <<= np.uint64(_PLACE)
+        keys |= np.arange(len(plain), dtype=np.uint64)
+        keys.sort()
+        keys &= np.uint64((1 << _PLACE) - 1)
+        plain = plain[keys.view(np.int64)]
+    else:
+        plain = plain[np.argsort(keys, kind="stable")]
+    del keys
+    return np.concatenate((plain, other[np.lexsort((u[other], w[other]))]))
+
+
 def _sorted(w: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The order by (w, u), and which are new in it."""
-    order = np.lexsort((u, w))
-    new = np.ones(len(w), bool)
-    new[1:] = (w[order][1:] != w[order][:-1]) | (u[order][1:] != u[order][:-1])
+    """That order, and which are new in it."""
+    order = _order(w, u)
+    new = np.zeros(len(w), bool)
+    new[:1] = True
+    for x in (w, u):
+        x = x[order]
+        new[1:] |= x[1:] != x[:-1]
     return order, new
 
 
@@ -225,11 +279,16 @@ def _tries(source: DataFrame, shared) -> DataFrame:
         classes = shared.value
         for tokens, owner, _, _ in _pieces(batches):
             w, u = classes.bigrams(classes.of(tokens), owner)
+            del tokens, owner
             order, new = _sorted(w, u)
             first = np.flatnonzero(new)
             n = np.diff(np.concatenate((first, [len(w)])))
-            for s, at, keys, w_, u_ in _by_shard(classes, w[order[first]], u[order[first]]):
+            order = order[first]
+            w, u = w[order], u[order]
+            del order, new, first
+            for s, at, keys, w_, u_ in _by_shard(classes, w, u):
                 yield _sharded([(s, 0, keys, _squeeze(n[at].astype("<i4")), None, w_, u_)])
+            del w, u, n, at
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes, now, keys, counts, others = shared.value, None, [], [], []
@@ -274,11 +333,16 @@ def _bigram_scores(source: DataFrame, model: DataFrame, shared) -> DataFrame:
         classes = shared.value
         for tokens, owner, names, _ in _pieces(batches):
             w, u = classes.bigrams(classes.of(tokens), owner)
-            order, _ = _sorted(w, u)
-            owner = owner[order]
-            for s, at, keys, w_, u_ in _by_shard(classes, w[order], u[order]):
+            del tokens
+            order = _order(w, u)
+            owner = owner[order].astype(np.int32)
+            w = w[order]
+            u = u[order]
+            del order
+            for s, at, keys, w_, u_ in _by_shard(classes, w, u):
                 texts, own = np.unique(owner[at], return_inverse=True)
                 yield _sharded([(s, 1, keys, _squeeze(own.astype("<u4")), _squeeze(names[texts].astype("<i8")), w_, u_)])
+            del w, u, owner, at, own
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes, now, trie, hashed = shared.value, None, None, None
@@ -294,7 +358,7 @@ def _bigram_scores(source: DataFrame, model: DataFrame, shared) -> DataFrame:
                             f.truncate()
                             f.write(data)
                             f.flush()
-                        now, trie, hashed = s, Trie(np.memmap(file, np.uint8, "r")), Hashed(np.memmap(more, np.uint8, "r"))
+                        now, trie, hashed = s, Trie(np.asarray(np.memmap(file, np.uint8, "r"))), Hashed(np.asarray(np.memmap(more, np.uint8, "r")))
                         continue
                     keys = _falls(a.to_pybytes())
                     texts = _expand(batch.column("c")[i].as_py(), "<i8")
@@ -333,6 +397,7 @@ def _word_scores(source: DataFrame, counts: DataFrame, shared, rare_least: int)
             total = np.bincount(owner, minlength=m)
             # A row for each text, and one for each of its rare words.
             h, own = tokens[rare], owner[rare]
+            del tokens, owner, ids, rare
             order = np.lexsort((h, own))
             h, own = h[order], own[order]
             new = np.ones(len(h), bool)

@@ -258,6 +258,32 @@ def test_elias_fano_round_trip():
     assert found.all() and np.abs(values - p).max() < 0.013
 
 
+def test_elias_fano_halves_within_a_dense_run(monkeypatch):
+    """A long run of near values beside far ones shares one high part: few rounds, and the same places."""
+    values = np.concatenate((np.arange(0, 60_000, 2), 10**12 + np.arange(40)))
+    head, body = EliasFano.pack(values)
+    held, _ = EliasFano.read(np.frombuffer(head.tobytes() + body, np.uint8), 0)
+    asked, rounds, lows = np.concatenate((np.arange(0, 60_010, 7), 10**12 + np.arange(-3, 45))), [], EliasFano._lows
+    monkeypatch.setattr(EliasFano, "_lows", lambda self, i: rounds.append(len(i)) or lows(self, i))
+    assert (held.successor(asked) == np.searchsorted(values, asked)).all() and len(rounds) <= 20
+
+
+def test_lm_orders_and_numbers(monkeypatch):
+    rng = np.random.default_rng(2)
+    hashes = np.unique(op6.mix(rng.integers(0, 1 << 62, 500).astype(np.uint64)))
+    classes = op6.Classes(hashes, np.ones(len(hashes)), 1, 1000, 500, 16)
+    tokens = np.concatenate((hashes, hashes + np.uint64(1), np.array([0, 2**64 - 1], np.uint64)))
+    numbers = {h: i + 2 for i, h in enumerate(hashes.tolist())}
+    ids = classes.of(tokens)
+    assert ids.tolist() == [numbers.get(t, t | 1 << 63) for t in tokens.tolist()]
+    w, u = rng.choice(ids, 4000), rng.choice(ids, 4000)
+    for bits in (24, 4):
+        monkeypatch.setattr(op6, "_PLACE", bits)
+        order, new = op6._sorted(w, u)
+        want = np.lexsort((u, w, (w | u) >= 1 << 63))
+        assert (order == want).all() and new.sum() == len(set(zip(w.tolist(), u.tolist())))
+
+
 def plain_targets(sizes, weights=(1, 2, 3)):
     order = sorted((s for s in sizes if s is not None), key=lambda s: s.encode()) + [None] * (None in sizes)
     weight = {s: weights[k % 3] for k, s in enumerate(order)}
