@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import difflib
+from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 _BLAME = "repository_id string, commit_hash string, file_path string, linenum int, author string, text string"
@@ -33,11 +34,11 @@ def first_parent_line(asked: DataFrame, commits: DataFrame) -> DataFrame:
     return found.join(known, key).select("repository_id", "commit_hash", "step", "ancestor", "author")
 
 
-def _attribute(versions: pd.DataFrame) -> pd.DataFrame:
-    """versions of one file from the oldest to the asked commit."""
-    old: list[tuple[str, str]] = []  # line, author
+def _attribute(versions: list[tuple[str, str]]) -> list[tuple[str, str]]:
+    """Line and author, from author and content of one file's versions, the oldest first."""
+    old: list[tuple[str, str]] = []
     last = None
-    for content, author in zip(versions.content, versions.author, strict=True):
+    for author, content in versions:
         if content == last:
             continue
         last = content
@@ -49,25 +50,36 @@ def _attribute(versions: pd.DataFrame) -> pd.DataFrame:
         for what, a, b, c, d in match.get_opcodes():
             fresh += old[a:b] if what == "equal" else [(line, author) for line in now[c:d]]
         old = fresh
-    head = versions.iloc[0]
-    rows = [(head.repository_id, head.commit_hash, head.file_path, i, author, line) for i, (line, author) in enumerate(old)]
-    return pd.DataFrame(rows, columns=["repository_id", "commit_hash", "file_path", "linenum", "author", "text"])
+    return old
+
+
+def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines of files, each with all its versions in one row."""
+    for batch in batches:
+        for start in range(0, len(batch), 500):
+            rows = []
+            for repository, commit, path, versions in zip(*(c.to_pylist() for c in batch.slice(start, 500).columns), strict=True):
+                rows += [(repository, commit, path, i, author, line) for i, (line, author) in enumerate(_attribute([(v["author"], v["content"]) for v in versions]))]
+            columns = list(zip(*rows, strict=True)) or [()] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if k == 3 else pa.string()) for k, c in enumerate(columns)], names=["repository_id", "commit_hash", "file_path", "linenum", "author", "text"])
 
 
 def blame(asked: DataFrame, commits: DataFrame, files: DataFrame, blobs: DataFrame) -> DataFrame:
     """asked: repository_id, commit_hash, file_path.  A row a line; unknown repositories, commits and files have none.
 
-    A group is one file's versions up to one commit, of which only runs of changed blobs are kept.
+    Runs of the same blob are one version before contents are joined; Python gets a row a file, with its versions up to the commit.
     """
+    key = ["repository_id", "commit_hash", "file_path"]
     line = first_parent_line(asked, commits)
-    wanted = asked.select("repository_id", "commit_hash", "file_path").distinct()
+    wanted = asked.select(*key).distinct()
     held = files.select("repository_id", F.col("commit_hash").alias("ancestor"), "file_path", "blob_hash")
-    seen = wanted.join(line, ["repository_id", "commit_hash"]).join(held, ["repository_id", "ancestor", "file_path"])
-    present = seen.where("step = 0").select("repository_id", "commit_hash", "file_path")
-    seen = seen.join(present, ["repository_id", "commit_hash", "file_path"], "left_semi")
+    seen = wanted.join(line, ["repository_id", "commit_hash"]).join(held, ["repository_id", "ancestor", "file_path"]).select(*key, "step", "author", "blob_hash")
+    file = Window.partitionBy(*key)
+    before, present = F.lag("blob_hash").over(file.orderBy(F.desc("step"))), F.min("step").over(file) == 0
+    changed = seen.select("*", (~before.eqNullSafe(F.col("blob_hash"))).alias("new"), present.alias("present")).where("new and present")
     content = blobs.select("repository_id", "blob_hash", F.col("blob_content").cast("string").alias("content"))
-    versions = seen.join(content, ["repository_id", "blob_hash"]).select("repository_id", "commit_hash", "file_path", "step", "author", "content")
-    return versions.groupBy("repository_id", "commit_hash", "file_path").applyInPandas(lambda v: _attribute(v.sort_values("step", ascending=False)), _BLAME)
+    versions = changed.join(content, ["repository_id", "blob_hash"]).groupBy(*key).agg(F.array_sort(F.collect_list(F.struct((-F.col("step")).alias("at"), "author", "content"))).alias("versions"))
+    return versions.mapInArrow(_lines, _BLAME)
 
 
 def as_json(lines: DataFrame) -> DataFrame:

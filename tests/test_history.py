@@ -99,3 +99,22 @@ def test_long_lines_and_merges(spark):
     assert line == sorted((c, i - j, names[j], f"{names[j]}@x") for c, i in (("c20", 20), ("c5", 5)) for j in range(i + 1))
     got = sorted(r.commit_hash for r in reachable(asked, commits).collect())
     assert got == sorted([*names, "side"])
+
+
+def test_blame_rows_a_file(spark):
+    """Files are read once, runs of a blob are one version, and no group goes to Python by itself."""
+    from stratalog.operators.blame import blame
+
+    texts = {"a": "one\ntwo\n", "b": "zero\none\nthree\ntwo\n", "e": ""}
+    line = [("f", "aabba"), ("g", "bb---"), ("h", "eee--"), ("i", "a-abb")]
+    commits = spark.createDataFrame([("r", f"c{i}", f"{i}@x", [f"c{i - 1}"] if i else []) for i in range(5)], "repository_id string, commit_hash string, commit_author_email string, commit_parents array<string>")
+    files = spark.createDataFrame([("r", f"c{i}", name, blob) for name, blobs in line for i, blob in enumerate(blobs) if blob != "-"], "repository_id string, commit_hash string, file_path string, blob_hash string")
+    blobs = spark.createDataFrame([("r", k, v.encode()) for k, v in texts.items()], "repository_id string, blob_hash string, blob_content binary")
+    asked = spark.createDataFrame([("r", c, f) for c, f in (("c4", "f"), ("c3", "f"), ("c4", "g"), ("c1", "g"), ("c2", "h"), ("c4", "i"), ("c4", "none"), ("none", "f"))], "repository_id string, commit_hash string, file_path string")
+    lines = blame(asked, commits, files, blobs)
+    got = {}
+    for r in sorted(lines.collect(), key=lambda r: r.linenum):
+        got.setdefault((r.commit_hash, r.file_path), []).append((r.text, r.author))
+    of = lambda authors, blob: list(zip(texts[blob].split("\n"), [f"{a}@x" for a in authors]))
+    assert got == {("c4", "f"): of("00", "a"), ("c3", "f"): of("2020", "b"), ("c1", "g"): of("0000", "b"), ("c4", "i"): of("3030", "b")}
+    assert "FlatMapGroupsInPandas" not in lines._jdf.queryExecution().executedPlan().toString()
