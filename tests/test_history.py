@@ -118,3 +118,9 @@ def test_blame_rows_a_file(spark):
     of = lambda authors, blob: list(zip(texts[blob].split("\n"), [f"{a}@x" for a in authors]))
     assert got == {("c4", "f"): of("00", "a"), ("c3", "f"): of("2020", "b"), ("c1", "g"): of("0000", "b"), ("c4", "i"): of("3030", "b")}
     assert "FlatMapGroupsInPandas" not in lines._jdf.queryExecution().executedPlan().toString()
+
+
+def test_blame_authors_of_readme(spark, other_engine):
+    got = QUERIES["blame_authors_of_readme"](spark, DATA)
+    assert rows(got.toPandas()) == rows(other_engine.execute(ORACLES["blame_authors_of_readme"]).fetchdf())
+    assert "FlatMapGroupsInPandas" not in got._jdf.queryExecution().executedPlan().toString()
