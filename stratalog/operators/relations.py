@@ -9,6 +9,8 @@ from stratalog.schemas import DIRECTORY, SUBMODULE
 
 MAX_BLOB_BYTES = 5 << 20
 SNIFFED = 8000
+#: Up to so many different paths, their names narrow the tree entries before anything is joined.
+FEW_PATHS = 1000
 
 
 def remotes(configured: DataFrame) -> DataFrame:
@@ -59,6 +61,30 @@ def commit_files(commits: DataFrame, entries: DataFrame) -> DataFrame:
     return owners.join(root_files(commits, entries), ["repository_id", "tree_hash"]).select("repository_id", "commit_hash", "file_path", "blob_hash", "tree_hash")
 
 
+def files_at(wanted: DataFrame, entries: DataFrame, paths: DataFrame) -> DataFrame:
+    """wanted: repository_id, tree_hash (a root), file_path, which is one of those in `paths`, and columns that are kept.
+    Its rows whose path is a file below the root, with blob_hash.  One join a name of the longest path; names have no slash."""
+    few = [r.file_path for r in paths.select("file_path").where("file_path is not null").distinct().take(FEW_PATHS + 1)]
+    parts = F.split("file_path", "/")
+    if len(few) > FEW_PATHS:
+        depth = paths.agg(F.max(F.size(parts))).first()[0]
+    else:
+        depth = max((len(path.split("/")) for path in few), default=1)
+        entries = entries.where(F.col("tree_entry_name").isin(sorted({name for path in few for name in path.split("/")})))
+    entries = entries.select("repository_id", F.col("tree_hash").alias("_tree"), F.col("tree_entry_name").alias("_name"), F.col("blob_hash").alias("_to"), F.col("tree_entry_mode").alias("_mode"))
+    kept, found = wanted.columns, None
+    rows = wanted.withColumn("_tree", F.col("tree_hash"))
+    for i in range(depth):
+        last, folder = F.size(parts) == i + 1, F.col("_mode") == DIRECTORY
+        rows = rows.withColumn("_name", F.get(parts, F.lit(i))).join(entries, ["repository_id", "_tree", "_name"]).where(F.when(last, ~F.col("_mode").isin(DIRECTORY, SUBMODULE)).otherwise(folder))
+        if i + 1 < depth:
+            rows = rows.checkpoint()
+        files = rows.where(last).select(*kept, F.col("_to").alias("blob_hash"))
+        found = files if found is None else found.union(files)
+        rows = rows.where(~last).select(*kept, F.col("_to").alias("_tree"))
+    return found
+
+
 def commit_blobs(files: DataFrame, *, distinct: bool = False) -> DataFrame:
     """From commit_files: a row a file, or a row a blob with `distinct`."""
     rows = files.select("repository_id", "commit_hash", "blob_hash")

@@ -398,14 +398,14 @@ def commit_file_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 def blame_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = _relations(spark, sf_dir)
     heads = held.refs.where("ref_name = 'HEAD'").select("repository_id", "commit_hash", F.explode(F.array(F.lit("notes/role.txt"), F.lit("README.md"), F.lit("no such file"))).alias("file_path"))
-    return blame.blame(heads, held.commits, held.commit_files, held.blobs).drop("author")
+    return blame.blame_in_trees(heads, held.commits, held.tree_entries, held.blobs).drop("author")
 
 
 @query("SELECT r.repository_id, concat(t.role, '@mail', t.conv_id % 3, '.example.com') AS author, CAST(1 AS BIGINT) AS n FROM repositories r JOIN turns t ON t.repository_id = r.repository_id AND t.turn = 0")
 def blame_authors_of_readme(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = _relations(spark, sf_dir)
     heads = held.refs.where("ref_name = 'HEAD'").select("repository_id", "commit_hash", F.lit("README.md").alias("file_path"))
-    lines = blame.as_json(blame.blame(heads, held.commits, held.commit_files, held.blobs)).select("repository_id", F.explode("blame").alias("bl"))
+    lines = blame.as_json(blame.blame_in_trees(heads, held.commits, held.tree_entries, held.blobs)).select("repository_id", F.explode("blame").alias("bl"))
     return lines.groupBy("repository_id", F.get_json_object("bl", "$.author").alias("author")).agg(F.count("bl").alias("n"))
 
 

@@ -124,3 +124,43 @@ def test_blame_authors_of_readme(spark, other_engine):
     got = QUERIES["blame_authors_of_readme"](spark, DATA)
     assert rows(got.toPandas()) == rows(other_engine.execute(ORACLES["blame_authors_of_readme"]).fetchdf())
     assert "FlatMapGroupsInPandas" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_lines_of_few_rows_and_trees_of_asked_paths(spark):
+    """Short and long lines, ends that are not known; paths of files, folders, submodules and nothing, listed or not."""
+    from stratalog.operators.blame import blame_in_trees, first_parent_line
+
+    short, long = range(1000), 70
+    rows = [(f"r{k}", f"r{k}c{i}", f"{i}@x", [f"r{k}c{i - 1}"] if i else [], f"r{k}t{i}") for k in short for i in range(2)]
+    rows += [("long", f"c{i}", f"{i}@x", [f"c{i - 1}"], f"t{i}") for i in range(long)]  # the parent of c0 is not known
+    commits = spark.createDataFrame(rows, "repository_id string, commit_hash string, commit_author_email string, commit_parents array<string>, tree_hash string")
+    heads = [(f"r{k}", f"r{k}c1") for k in short] + [("long", f"c{long - 1}"), ("long", "none"), ("none", "c1")]
+    told = first_parent_line(spark.createDataFrame(heads, "repository_id string, commit_hash string"), commits)
+    got = sorted((r.repository_id, r.step, r.ancestor) for r in told.collect())
+    assert got == sorted([(f"r{k}", 1 - i, f"r{k}c{i}") for k in short for i in range(2)] + [("long", long - 1 - i, f"c{i}") for i in range(long)])
+
+    entries = [("long", n, f"t{i}", b, m) for i in range(long) for n, b, m in (("d", f"d{i // 20}", "40000"), ("e", "d0", "40000"), ("f", "one", "100644"), ("s", "one", "160000"))]
+    entries += [("long", "f", f"d{k}", ("one", "two", "one", "two")[k], "100644") for k in range(4)] + [("long", "g", "d3", "empty", "40000")]
+    entries = spark.createDataFrame(entries, "repository_id string, tree_entry_name string, tree_hash string, blob_hash string, tree_entry_mode string")
+    blobs = spark.createDataFrame([("long", "one", b"1\n"), ("long", "two", b"1\n2\n")], "repository_id string, blob_hash string, blob_content binary")
+    asked = [("long", f"c{long - 1}", path) for path in ("d/f", "f", "d", "s", "d/g", "d/f/f", "none", "")] + [("long", "c45", "d/f"), ("r1", "r1c1", "f")]
+    asked = spark.createDataFrame(asked, "repository_id string, commit_hash string, file_path string")
+    for most in (relations.FEW_PATHS, 0):
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(relations, "FEW_PATHS", most)
+            lines = blame_in_trees(asked, commits, entries, blobs)
+        got = sorted((r.commit_hash, r.file_path, r.linenum, r.author, r.text) for r in lines.collect())
+        assert got == [("c45", "d/f", 0, "0@x", "1"), ("c69", "d/f", 0, "0@x", "1"), ("c69", "d/f", 1, "60@x", "2"), ("c69", "f", 0, "0@x", "1")]
+    assert blame_in_trees(asked.limit(0), commits, entries, blobs).count() == 0
+
+
+def test_blame_rounds_write_jumps_only(spark, monkeypatch):
+    """Neither rounds over lines nor a list of all files: README.md is looked up in the root trees."""
+    from stratalog.views import History
+
+    kind, written = type(spark.range(1)), []
+    real = kind.checkpoint
+    monkeypatch.setattr(kind, "checkpoint", lambda self, *a, **b: written.append(self.columns) or real(self, *a, **b))
+    monkeypatch.setattr(History, "commit_files", property(lambda self: pytest.fail("all files of all commits are listed")))
+    QUERIES["blame_authors_of_readme"](spark, DATA)
+    assert written == [["repository_id", "ancestor", "to"]] * 4  # lines of up to 8 commits: over 1, 2, 4, and 8, of which there are none
